@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import looks, terms
+from lectern.llm import looks, scans, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": scans.p1_found,
+    "p1_repaired": scans.p1_repaired,
     "p4_found": terms.p4_found,
     "p4_terms": terms.p4_terms,
     "p5_found": looks.p5_found,
