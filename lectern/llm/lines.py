@@ -121,6 +121,6 @@ def classify(lines: list[str], key: str, lo: int | None = None, hi: int | None =
             beside = i and kinds[i - 1] == HEADER or i + 1 < n and kinds[i + 1] == HEADER
             fits = lo is None or lo - 1 <= number <= (lo if hi is None else hi) + 1
             bare = folded[i].isdecimal()
-            if beside and fits or kinds[i] == BODY and (fits or not bare):
+            if not bare or fits and (beside or kinds[i] == BODY):
                 kinds[i] = PAGE
     return kinds

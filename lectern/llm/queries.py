@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import looks, scans, terms
+from lectern.llm import looks, scans, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": looks.p5_found,
     "p5_unified": looks.p5_unified,
     "p5_groups": looks.p5_groups,
+    "p6_found": sentences.p6_found,
+    "p6_sentences": sentences.p6_sentences,
 }
 
 SQL: dict[str, str] = {"p4_found": terms.P4_FOUND_SQL, "p4_terms": terms.P4_TERMS_SQL}

@@ -25,6 +25,8 @@ from lectern.sources.tables import table
 RARE_SHARE = 0.12
 #: Letters that a word needs before its form is judged by frequency alone.
 JUDGED_LETTERS = 4
+#: A rare form this long beside a form with that many uses needs no support by context.
+CERTAIN_LETTERS, CERTAIN_USES = 6, 20
 #: An odd word without a clean form is taken for a misreading only up to this length (longer ones are codes), if mostly letters.
 LONGEST_UNKNOWN = 40
 _KEY = ["book_id", "section_id"]
@@ -94,7 +96,7 @@ def misread_forms(uses: DataFrame, forms: DataFrame) -> DataFrame:
     """(word, correct): forms that are misreadings; correct is null where no clean form of the skeleton is known.
 
     A form with a sign inside that no word has is misread; a clean form is if a far more used form of its skeleton is
-    supported by context, that is follows at least one of the words that this form follows.
+    supported by context, that is follows at least one of the words that this form follows, or by sheer numbers.
     """
     odd = F.col("word").rlike(_ODD_GLYPH) & ~F.col("word").rlike(_PLAIN_NUMBER) & ~F.col("word").rlike("^(p\\(|https?:|www\\.)|@.*\\.|^@") & (F.length(F.regexp_replace("word", "[^a-z]", "")) >= 2)
     rare = (F.col("word") != F.col("best")) & (F.col("uses") <= F.greatest(F.lit(1), F.floor(F.col("best_uses") * RARE_SHARE))) & (F.length("word") >= JUDGED_LETTERS) & (F.col("best_uses") >= 2)
@@ -104,7 +106,8 @@ def misread_forms(uses: DataFrame, forms: DataFrame) -> DataFrame:
     around = uses.join(doubt, "word").select("word", "best", "before").distinct()
     of_best = uses.join(doubt.select(F.col("best").alias("word")).distinct(), "word", "left_semi").select(F.col("word").alias("best"), "before").distinct()
     supported = around.join(of_best, ["best", "before"], "left_semi").select("word", F.col("best").alias("correct")).distinct()
-    return by_glyph.unionByName(supported)
+    plain = forms.where(~odd & rare & (F.length("word") >= CERTAIN_LETTERS) & (F.col("best_uses") >= CERTAIN_USES)).select("word", F.col("best").alias("correct"))
+    return by_glyph.unionByName(supported).unionByName(plain).distinct()
 
 
 def broken_words(joined: DataFrame, forms: DataFrame) -> DataFrame:
