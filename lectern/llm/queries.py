@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import looks, scans, sentences, terms
+from lectern.llm import containers, looks, pieces, scans, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
     "p1_repaired": scans.p1_repaired,
+    "p2_found": pieces.p2_found,
+    "p2_pieces": pieces.p2_pieces,
+    "p3_found": containers.p3_found,
+    "p3_blocks": containers.p3_blocks,
+    "p3_sections": containers.p3_sections,
     "p4_found": terms.p4_found,
     "p4_terms": terms.p4_terms,
     "p5_found": looks.p5_found,
@@ -20,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_sentences": sentences.p6_sentences,
 }
 
-SQL: dict[str, str] = {"p4_found": terms.P4_FOUND_SQL, "p4_terms": terms.P4_TERMS_SQL}
+SQL: dict[str, str] = {"p3_found": containers.P3_FOUND_SQL, "p4_found": terms.P4_FOUND_SQL, "p4_terms": terms.P4_TERMS_SQL}

@@ -296,10 +296,15 @@ def decide(places: list) -> list[int]:
     return ends[::-1]
 
 
-def sentence_ends(sections: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, section_id, end_pos), one row per sentence; distinct, so that repeated rows count once."""
+def sentence_ends(sections: DataFrame, books: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(book_id, section_id, end_pos), one row per sentence; distinct, so that repeated rows count once.
+
+    only: keys of the sections to return; the statistics are of all sections in any case.
+    """
     rows = places_and_stats(sections, books)
     places = rows.where("kind = 'place'").select("book_id", "section_id", "para", "end_pos", "words", "left", "right", "short", "cls", "odds")
+    if only is not None:
+        places = places.join(only.select("book_id", "section_id").distinct(), ["book_id", "section_id"], "left_semi")
     settled = places.where("odds <> 0").unionByName(model_odds(rows.where("kind <> 'place'"), places))
     grouped = settled.groupBy("book_id", "section_id", "para").agg(F.collect_set(F.struct("end_pos", "words", "odds")).alias("places"))
     return grouped.select("book_id", "section_id", F.explode(_decided("places")).alias("end_pos"))
