@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import containers, looks, pieces, scans, sentences, terms
+from lectern.llm import containers, leaks, looks, pieces, scans, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": looks.p5_groups,
     "p6_found": sentences.p6_found,
     "p6_sentences": sentences.p6_sentences,
+    "p7_found": leaks.p7_found,
+    "p7_leaks": leaks.p7_leaks,
 }
 
 SQL: dict[str, str] = {"p3_found": containers.P3_FOUND_SQL, "p4_found": terms.P4_FOUND_SQL, "p4_terms": terms.P4_TERMS_SQL}
