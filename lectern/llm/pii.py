@@ -105,14 +105,17 @@ def candidates(text: str) -> list[tuple[str, int, int, list[int], str, bool]]:
             out.append(("id_number", m.start(), m.end(), [shape, known or -1, 0, 0, 0, 0, 0, -other], "", False))
             found.append((m.start(), m.end()))
     for m in _PHONE.finditer(text):
-        shape = _phone_shape(m.group())
+        number = m.group()
+        while (shape := _phone_shape(number)) < 0 and (shorter := re.sub("[  .\\-/]+\\d+$", "", number)) != number:
+            number = shorter  # a list number or another figure after it
+        end = m.start() + len(number)
         announced = cue("phone", m.start(), 40)
         other = cue("other", m.start(), 40)
         if shape < 0 or cue("id", m.start()):
             continue
-        out.append(("phone", m.start(), m.end(), [shape, announced or line(m.start(), m.end()), 0, 0, 0, 0, 0, -other], "", False))
+        out.append(("phone", m.start(), end, [shape, announced or line(m.start(), end), 0, 0, 0, 0, 0, -other], "", False))
         if shape:
-            found.append((m.start(), m.end()))
+            found.append((m.start(), end))
     for m in _ADDRESS.finditer(text):
         out.append(("address", m.start(), m.end(), [1, cue("address", m.start(), 30) or line(m.start(), m.end()), 0, 0, 0, 0, 0, 0], "", False))
         found.append((m.start(), m.end()))

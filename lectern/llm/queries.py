@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import containers, leaks, looks, pieces, pii, scans, sentences, terms
+from lectern.llm import containers, leaks, looks, mixing, pieces, pii, scans, sentences, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_sentences": sentences.p6_sentences,
     "p7_found": leaks.p7_found,
     "p7_leaks": leaks.p7_leaks,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
+    "p8_shares_all": mixing.p8_shares_all,
     "p9_found": pii.p9_found,
     "p9_masked": pii.p9_masked,
 }
