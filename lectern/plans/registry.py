@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lectern.plans import script_queries
 
-
-def FLAGSHIP(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
-    """Filled in by the first core query."""
-    return spark.range(1)
+_MODULES = (script_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
+FLAGSHIP = QUERIES["script_duplicate_lines"]
