@@ -137,6 +137,18 @@ class Items:
         return found
 
 
+def _leaked(shared):
+    """The search over one block of items as a column function."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def leaked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = shared.value
+        for part in parts:
+            yield part.map(lambda t: sorted(block.leaks(t)) if isinstance(t, str) else [])
+
+    return leaked
+
+
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> (doc_id, item_id)."""
     spark = documents.sparkSession
@@ -146,14 +158,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     blocks = numbered.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-total // ITEM_BLOCK) or 1)))
     out = None
     for (number,) in sorted(blocks.select("block").distinct().collect()):
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in blocks.where(F.col("block") == number).select("item_id", "text").collect()]))
-
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def leaked(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            machine = shared.value
-            for part in parts:
-                yield part.map(lambda t: sorted(machine.leaks(t)) if machine.machines and isinstance(t, str) else [])
-
+        own = [tuple(r) for r in blocks.where(F.col("block") == number).select("item_id", "text").collect()]  # about ITEM_BLOCK rows
+        leaked = _leaked(spark.sparkContext.broadcast(Items(own)))
         found = documents.where("text is not null").select("doc_id", F.explode(leaked("text")).alias("item_id"))
         out = found if out is None else out.unionByName(found)
     if out is None:
