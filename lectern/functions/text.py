@@ -81,5 +81,9 @@ def seeded_fraction(*parts: Column) -> Column:
 
 def language_guess(text: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
-    n = {name: F.size(F.filter(tokens, lambda t, vocab=vocab: t.isin(*vocab))) for name, vocab in (("nl", DUTCH_WORDS), ("en", ENGLISH_WORDS))}
+
+    def known(vocabulary: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(*vocabulary)))
+
+    n = {"nl": known(DUTCH_WORDS), "en": known(ENGLISH_WORDS)}
     return F.when(n["en"] > 1.5 * n["nl"], "en").otherwise("nl")
