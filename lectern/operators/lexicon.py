@@ -72,7 +72,7 @@ def applied(texts: DataFrame, merged_: DataFrame) -> DataFrame:
 
                 def one(m: re.Match, table: dict[str, str] = table) -> str:
                     new = table.get(m.group().lower(), m.group())
-                    return new[:1].upper() + new[1:] if m.group()[:1].isupper() and m.group()[1:2].islower() else new
+                    return new[:1].upper() + new[1:] if m.group()[:1].isupper() and (len(m.group()) == 1 or not m.group().isupper()) else new
 
                 out.append(pattern.sub(one, text))
             yield pd.Series(out)
