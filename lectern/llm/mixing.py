@@ -8,7 +8,8 @@ The seeded sample orders a source's documents by a hash and takes them until the
 buckets first, so the place where the fraction ends is found on bucket sums and only one bucket is looked at row by row; a source
 that holds a third of all rows stays spread.
 
-Null texts and null sources aren't mixed; empty texts have no tokens and come along with whole repeats; a doc_id counts once;
+Null texts and null sources aren't mixed; empty texts have no tokens and come along with whole repeats; a doc_id counts once (of rows that
+differ, the one with the last source and most tokens);
 sources without documents leave their weight to the others; documents of sources outside the mix are not used; extra columns
 are not read. Empty tables give no rows.
 """
@@ -52,7 +53,8 @@ def with_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFram
         for part in parts:
             yield part.map(lambda t: len(encode(t)))
 
-    return documents.where("text is not null and source is not null").select("doc_id", "source", tokens("text").alias("tokens")).dropDuplicates(["doc_id"])
+    sized = documents.where("text is not null and source is not null").select("doc_id", "source", tokens("text").alias("tokens"))
+    return sized.groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.source", "x.tokens")
 
 
 def water_fill(sources: list[tuple[str, float, int, int]], total: float | None = None) -> dict[str, float]:

@@ -26,6 +26,8 @@ from lectern.sources.tables import table
 TYPES = ("name", "email", "phone", "id_number", "address")
 #: Votes per span: shape, cue, title, line, initials, particle, near, against; a gazetteer vote is added from the whole collection.
 VOTES = 9
+#: The first guess of each labeler's rates counts as much as this many spans.
+PRIOR_SPANS = 50
 
 # Particles of surnames, words that announce a kind of span, and words that stand before other numbers.
 _PARTS = "van der|van den|van de|van 't|van ’t|van het|van|ten|ter|te|op de|in 't|de la|de las|de los|de|den|der|del|el|al|von der|von|zu|du|des|di|da|le|la|bin|ibn"
@@ -133,7 +135,7 @@ def candidates(text: str) -> list[tuple[str, int, int, list[int], str, bool]]:
         if text[end - 1] in "'’":
             end -= 1
         near = int(any(start - 120 < b and a < end + 160 for a, b in found))
-        against = -1 if given and _BAD_NAME.match(given) or _STREETISH.search(m.group("sur")) else 0
+        against = -1 if given and _BAD_NAME.match(given) or _STREETISH.search(m.group("sur")) or any(a < end and start < b for a, b in found) else 0
         lower = bool(given) and re.search(f"(?<![\\w@.+-]){re.escape(given.lower())}(?![\\w@+_]|\\.\\w)", text) is not None
         out.append(("name", start, end, [0, cue("name", start), cue("title", start, 12), line(start, end), int(bool(m.group("init") or m.group("mid"))), int(bool(m.group("part"))), near, against], given.casefold(), lower))
     return out
@@ -169,18 +171,18 @@ def label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int
     """Posterior of each vote pattern by expectation-maximisation over independent labelers with rates of their own.
 
     The rates start where a vote for is more likely on a true span and a vote against on a false one, which fixes what the two
-    hidden classes mean; smoothing by one count keeps every rate above zero.
+    hidden classes mean; the first guess stays in as PRIOR_SPANS spans, which keeps rates above zero and small collections steady.
     """
     n, k = votes.shape
     seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    start = {True: np.array([0.05, 0.45, 0.5]), False: np.array([0.25, 0.7, 0.05])}
+    start = {True: np.array([0.05, 0.5, 0.45]), False: np.array([0.3, 0.6, 0.1])}
     rate = {c: np.tile(start[c], (k, 1)) for c in (True, False)}
     share, posterior = prior, np.full(n, prior)
     for _ in range(rounds):
         score = {c: (seen * np.log(rate[c])[None]).sum(axis=(1, 2)) + np.log(share if c else 1 - share) for c in (True, False)}
         posterior = 1 / (1 + np.exp(np.clip(score[False] - score[True], -50, 50)))
         for c, weight in ((True, posterior * counts), (False, (1 - posterior) * counts)):
-            total = (seen * weight[:, None, None]).sum(axis=0) + start[c] * 4
+            total = (seen * weight[:, None, None]).sum(axis=0) + start[c] * PRIOR_SPANS
             rate[c] = total / total.sum(axis=1, keepdims=True)
         share = float(np.clip((posterior * counts).sum() / counts.sum(), 0.02, 0.98))
     return posterior

@@ -129,7 +129,7 @@ def broken_words(joined: DataFrame, forms: DataFrame) -> DataFrame:
     out = both.withColumn("glued", glued)
     whole = F.when(F.col("glued"), F.concat("a", "b")).otherwise(F.concat("a", F.lit("-"), "b"))
     known = F.when(F.col("glued"), F.col("glued_w")).otherwise(F.col("kept_w"))
-    return out.select(*_KEY, "line_no", "next_no", "glued", whole.alias("word"), known.alias("known"), (whole.rlike(_ODD_GLYPH) | (known.isNotNull() & (whole != known) & (F.length(whole) >= JUDGED_LETTERS))).alias("misread"))
+    return out.select(*_KEY, "line_no", "next_no", "glued", joiner.alias("suspended"), whole.alias("word"), known.alias("known"), (whole.rlike(_ODD_GLYPH) | (known.isNotNull() & (whole != known) & (F.length(whole) >= JUDGED_LETTERS))).alias("misread"))
 
 
 @F.pandas_udf(T.StringType())
@@ -181,10 +181,10 @@ def repaired(spark: SparkSession, folder: str) -> DataFrame:
     marked, joined, uses, forms = _stages(spark, folder)
     bad = misread_forms(uses, forms).where("correct is not null")
     fixes = uses.join(bad, "word").groupBy(*_KEY, "line_no").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("fixes"))
-    glue = broken_words(joined, forms).where("glued").select(*_KEY, "line_no", F.lit(True).alias("glue"))
+    glue = broken_words(joined, forms).where("glued or not suspended").select(*_KEY, "line_no", F.lit(True).alias("glue"), "glued")
     kept = marked.where("kind not in ('header', 'page_number')").withColumn("blank", F.col("kind") == "blank").withColumn("table", F.col("kind") == "table").drop("words").join(fixes, [*_KEY, "line_no"], "left").join(glue, [*_KEY, "line_no"], "left").withColumn("glue", F.coalesce("glue", F.lit(False)))
     text = F.when(F.col("fixes").isNotNull(), _with_fixes("line", "fixes")).otherwise(F.col("line"))
-    text = F.when(F.col("glue"), F.regexp_replace(text, f"[{_HYPHENS}]\\s*$", "")).otherwise(F.when(F.col("table"), text).otherwise(F.rtrim(text)))
+    text = F.when(F.col("glued"), F.regexp_replace(text, f"[{_HYPHENS}]\\s*$", "")).otherwise(F.when(F.col("table"), text).otherwise(F.rtrim(text)))
     w = Window.partitionBy(*_KEY).orderBy("line_no")
     shaped = kept.withColumn("out", text).withColumn("gap", F.sum((~F.col("blank")).cast("int")).over(w))
     last = F.last(F.when(~F.col("blank"), F.col("line_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -41,6 +41,8 @@ _THAI_ANY, _WIDE_ANY = re.compile(f"[{_THAI}]"), re.compile("[぀-ヿ㐀-鿿]")
 #: Statistics: (kind, token) with its count. plain: lower-case word without a dot; dot: word before a dot; low: word before a
 #: dot that a lower-case word or comma follows; end: word at a paragraph's end; start: word after a certain boundary;
 #: mid: capitalised word where no boundary can be; open: word after an open place.
+#: A word this long without an inner dot is hardly an abbreviation, even if it is seen nowhere else.
+WORDLIKE = 6
 #: Stands for a single capital before a dot.
 INITIAL = "<initial>"
 STATS = ("plain", "dot", "low", "end", "start", "mid", "open")
@@ -244,7 +246,8 @@ def model_odds(stats: DataFrame, places: DataFrame) -> DataFrame:
     log = F.log
     is_number, initial = F.col("left").rlike("^#"), F.col("left") == INITIAL
     unknown = (F.col("l_plain") + F.col("l_end")) < 0.05 * F.col("l_dot")
-    seen = log((F.col("l_plain") + 5 * F.col("l_end") + 0.5) / (5 * F.col("l_low") + F.when(unknown, F.col("l_dot")).otherwise(0) + 0.5))
+    wordlike = (F.length("left") >= WORDLIKE) & ~F.col("left").contains(".")
+    seen = log((F.col("l_plain") + 5 * F.col("l_end") + F.when(wordlike, 2.5).otherwise(0.5)) / (5 * F.col("l_low") + F.when(unknown & ~wordlike, F.col("l_dot")).otherwise(0) + 0.5))
     left_odds = F.when(F.col("left").isin(*OPEN_ENDED), 0.0).when(is_number, F.lit(0.0)).when(initial, -12.0).otherwise(F.greatest(F.lit(-7.0), F.least(seen, F.lit(7.0))))
     opened = F.when(F.col("left").isin(*OPEN_ENDED), F.col("r_open")).otherwise(0)
     cased = log((F.col("r_start") + F.col("w_plain") + opened + 0.5) / (2 * F.col("r_mid") + 0.5))
