@@ -138,6 +138,8 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
             chunk = para[max(0, start - 40) : start].split()
             left = _norm(_LEFT_TRIM.sub("", _RIGHT_TRIM.sub("", chunk[-1] if chunk else "")).lower())
             closed = any(c in "\"”’“»」』" for c in mark[1:])
+            if kind == "#" and mark == "." and chunk and chunk[-1].startswith("(") and ")" not in chunk[-1]:
+                continue  # a number inside a bracket, as in (no. 13)
             if chunk and re.fullmatch("[^\\w]*[A-Z]", chunk[-1]):
                 left = INITIAL
             odds = _certain(mark, kind, closed, wide, left, stats, token)
