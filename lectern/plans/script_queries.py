@@ -51,7 +51,7 @@ QUERIES = {
     "script_latest_revision": lambda spark, folder: S.latest_revision(_lines(spark, folder)).select(*S.EPISODE, "line_id", "speaker", "pos"),
 }
 
-_BASE = """
+BASE = """
 with l as (select distinct book_id, episode_id, revision, seg_no, seg_type, line_no, pos, line_id, lower(trim(speaker)) as speaker, text,
   coalesce(pause_after_ms, 0) as pause, target_minutes, coalesce(overlap.mode, 'none') as mode, overlap.target as target,
   overlap.cut_word as cut_word, coalesce(covers, []) as covers, coalesce(tags, []) as tags from script_lines),
@@ -69,7 +69,7 @@ def _rule(name: str, severity: str, source: str, line: str = "line_id", claim: s
 
 
 def _union(*parts: str) -> str:
-    return _BASE + " union all ".join(parts)
+    return BASE + " union all ".join(parts)
 
 
 _W = "[^\\p{L}\\p{N}_]"
@@ -146,13 +146,13 @@ SQL = {
     "script_retelling_rules": _union(*_RETELLING),
     "script_speakable_rules": _union(*_SPEAKABLE),
     "script_telegraphic": _union(*_TELEGRAPHIC),
-    "script_episode_stats": _BASE + f"select book_id, episode_id, revision, lines, chars, minutes, target_minutes, interrupts, backchannels, has_quiz, quiz_questions, quiz_pause from {_STATS}",
+    "script_episode_stats": BASE + f"select book_id, episode_id, revision, lines, chars, minutes, target_minutes, interrupts, backchannels, has_quiz, quiz_questions, quiz_pause from {_STATS}",
     "script_budget_rules": _union(*_BUDGET),
     "script_flat_reaction": _union(*_FLAT),
-    "script_audit_verdicts": _BASE + _FINDINGS + "select book_id, episode_id, revision, blocking, warnings, blocking = 0 as passed from v",
-    "script_audit_by_rule": _BASE + _FINDINGS + "select rule, severity, count(*) as findings from f group by 1, 2",
-    "script_best_revision": _BASE + _FINDINGS + "select book_id, episode_id, arg_min(revision, row(blocking, warnings, -revision)) as best_revision from v group by 1, 2",
-    "script_turns": _BASE + f"select book_id, episode_id, revision, turn_no, min_by(speaker, pos) as speaker, min_by(seg_type, pos) as seg_type, min(pos) as first_pos, count(*) as lines, sum({_COUNT}) as words, sum(length(text)) as chars from (select *, sum(case when prev_id is null or seg_no <> prev_seg or speaker is distinct from prev_speaker or mode <> 'none' or prev_pause > 0 or prev_mode <> 'none' then 1 else 0 end) over (partition by book_id, episode_id, revision order by pos, line_id) as turn_no from p) group by 1, 2, 3, 4",
-    "script_renumbered": _BASE + "select a.book_id, a.episode_id, a.revision, a.pos, a.line_id, a.new_id, a.target, b.new_id as new_target from n a left join n b on a.book_id = b.book_id and a.episode_id = b.episode_id and a.revision = b.revision and a.target = b.line_id".replace("from n a", "from (select *, printf('l%03d', row_number() over (partition by book_id, episode_id, revision order by pos, line_id)) as new_id from l) a").replace("left join n b", "left join (select *, printf('l%03d', row_number() over (partition by book_id, episode_id, revision order by pos, line_id)) as new_id from l) b"),
-    "script_latest_revision": _BASE + "select book_id, episode_id, revision, line_id, speaker, pos from l where revision = (select max(revision) from l x where x.book_id = l.book_id and x.episode_id = l.episode_id)",
+    "script_audit_verdicts": BASE + _FINDINGS + "select book_id, episode_id, revision, blocking, warnings, blocking = 0 as passed from v",
+    "script_audit_by_rule": BASE + _FINDINGS + "select rule, severity, count(*) as findings from f group by 1, 2",
+    "script_best_revision": BASE + _FINDINGS + "select book_id, episode_id, arg_min(revision, row(blocking, warnings, -revision)) as best_revision from v group by 1, 2",
+    "script_turns": BASE + f"select book_id, episode_id, revision, turn_no, min_by(speaker, pos) as speaker, min_by(seg_type, pos) as seg_type, min(pos) as first_pos, count(*) as lines, sum({_COUNT}) as words, sum(length(text)) as chars from (select *, sum(case when prev_id is null or seg_no <> prev_seg or speaker is distinct from prev_speaker or mode <> 'none' or prev_pause > 0 or prev_mode <> 'none' then 1 else 0 end) over (partition by book_id, episode_id, revision order by pos, line_id) as turn_no from p) group by 1, 2, 3, 4",
+    "script_renumbered": BASE + "select a.book_id, a.episode_id, a.revision, a.pos, a.line_id, a.new_id, a.target, b.new_id as new_target from n a left join n b on a.book_id = b.book_id and a.episode_id = b.episode_id and a.revision = b.revision and a.target = b.line_id".replace("from n a", "from (select *, printf('l%03d', row_number() over (partition by book_id, episode_id, revision order by pos, line_id)) as new_id from l) a").replace("left join n b", "left join (select *, printf('l%03d', row_number() over (partition by book_id, episode_id, revision order by pos, line_id)) as new_id from l) b"),
+    "script_latest_revision": BASE + "select book_id, episode_id, revision, line_id, speaker, pos from l where revision = (select max(revision) from l x where x.book_id = l.book_id and x.episode_id = l.episode_id)",
 }

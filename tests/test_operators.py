@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import external as E
 from lectern.operators import folds as W
+from lectern.operators import fuzzy as Z
 from lectern.operators import lexicon as L
 from lectern.operators import matching as M
 from lectern.operators import planning as P
@@ -18,6 +19,7 @@ from lectern.operators import script as S
 from lectern.operators import signal as G
 from lectern.operators import structure as D
 from lectern.operators import telemetry as T
+from lectern.operators import transcript as N
 from lectern.sources import files
 from lectern.streaming import events as V
 
@@ -208,3 +210,38 @@ def test_streams_equal_batch(spark, folder, tmp_path):
     events = T.latest_status(batch).select("user_id", "offset", "events")
     got = spark.table("states").groupBy("user_id").agg(F.max("offset").alias("offset"), F.max("events").alias("events"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.collect()))
+
+
+def test_best_window_equals_brute_force():
+    rng = random.Random(9)
+    for _ in range(150):
+        needle, text = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, n))) for n in (6, 25))
+        got = Z.best_window(needle, text)
+        if not needle or not text:
+            assert got is None
+            continue
+        n, m = len(needle), len(text)
+        windows = [(0, m)] if n >= m else [(max(0, r - n), min(m, r)) for r in range(1, m + n)]
+        best = max(M.indel_ratio(needle, text[a:b]) for a, b in windows)
+        assert (got[2] if got else 0.0) == pytest.approx(best)
+        if got:
+            assert M.indel_ratio(needle, text[got[0] : got[1]]) == pytest.approx(best)
+    assert Z.partial_ratio("dijk", "de dijken") == 100.0 and Z.token_set_ratio("a b c", "b a") == 100.0 and Z.token_set_ratio("", "a") == 0.0
+    assert Z.window_words("een waterdijk hier", 6, 9) == (4, 13)
+
+
+def test_fuzzy_quotes(spark):
+    claims = spark.createDataFrame([("b", "c", "k1", "s1", "de dijk hoedt het water"), ("b", "c", "k2", "s1", "iets volkomen anders zonder plaats"), ("b", "c", "k3", "s2", "de dijk houdt het water")], "book_id string, chapter_id string, claim_id string, section string, quote string")
+    sections = spark.createDataFrame([("b", "c", "s1", 1, "Nu houdt de dijk houdt het water tegen."), ("b", "c", "s2", 2, None)], "book_id string, chapter_id string, section_id string, section_no int, text string")
+    located = P.located_quotes(claims, sections)
+    assert {r["claim_id"] for r in located.where("score = 100").collect()} == {"k3"}
+    got = Z.fuzzy_quotes(located, claims, sections).collect()
+    assert [(r["claim_id"], r["section_id"], r["start_pos"]) for r in got] == [("k1", "s1", 9)] and got[0]["score"] > 90
+
+
+def test_times(spark):
+    lines = S.script_lines(raw(SCRIPT, spark))
+    times = {r["line_id"]: r for r in N.line_times(lines).collect()}
+    assert times["l001"]["start_s"] == 0 and times["l004"]["start_s"] == pytest.approx(times["l003"]["end_s"] + 0.3, abs=2e-3)
+    words = N.word_times(lines).where("line_id = 'l002'").orderBy("word_no").collect()
+    assert words[0]["word"] == "Wacht" and all(a["end_s"] <= b["start_s"] + 1e-9 for a, b in zip(words, words[1:]))
