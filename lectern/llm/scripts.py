@@ -12,6 +12,8 @@ PROTOTYPES = GREEK_LOOKS | CYRILLIC_LOOKS
 
 #: Characters without width, and the hyphen that shows only at a line's end.
 INVISIBLE = "­᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+#: Marks that make one letter with the letter before them: Latin and Greek, Arabic, Indic, Japanese.
+MARKS = "\u0300-\u036f\u0653-\u0655\u093c\u09bc\u3099\u309a"
 #: Space characters other than U+0020, tab and line feed.
 SPACES = "               　\x0b\x0c\r\x85  "
 
@@ -34,7 +36,7 @@ FOREIGN_LOOK = re.escape("".join(PROTOTYPES))
 LOOKALIKE_WORD = re.compile(f"[{LATIN}{FOREIGN_LOOK}̀-ͯ]*(?:[{LATIN}][̀-ͯ]*[{FOREIGN_LOOK}]|[{FOREIGN_LOOK}][{LATIN}])[{LATIN}{FOREIGN_LOOK}̀-ͯ]*")
 _ONE_LINE = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(k): v for k, v in COMPAT.items()}
 _LOOKS = str.maketrans(PROTOTYPES)
-_ODD = re.compile(f"[{re.escape(INVISIBLE + SPACES + ''.join(COMPAT))}{FOREIGN_LOOK}̀-ͯٓ-़゙゚ٕ]")
+_ODD = re.compile(f"[{re.escape(INVISIBLE + SPACES + ''.join(COMPAT))}{FOREIGN_LOOK}{MARKS}]")
 
 
 def one_form(text: str) -> str:
