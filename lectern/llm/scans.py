@@ -157,7 +157,8 @@ def _stages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     marked = section_lines(table(spark, folder, "sections"), table(spark, folder, "books").select("book_id", "title"))
     joined = joined_lines(marked)
     uses = word_uses(joined)
-    return marked, joined, uses, word_forms(uses)
+    # One row per distinct form, read by every later step: kept, so that the words are counted once.
+    return marked, joined, uses, word_forms(uses).checkpoint()
 
 
 def noise(spark: SparkSession, folder: str) -> DataFrame:
