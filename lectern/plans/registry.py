@@ -11,4 +11,4 @@ from lectern.plans import fold_queries, planning_queries, script_queries, teleme
 _MODULES = (script_queries, telemetry_queries, planning_queries, text_queries, fold_queries, transcript_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
-FLAGSHIP = QUERIES["script_duplicate_lines"]
+FLAGSHIP = QUERIES["script_turns"]
