@@ -3,8 +3,8 @@
 Method: Wu-Manber multi-pattern search. Every item is cut into word blocks such that any twelve words in a row hold a whole block
 and any whole item with four words changed keeps one block intact. A shift table over character blocks skips positions where no
 pattern can end, a hash of the last character block selects the patterns to compare, and direct comparison confirms: the words
-around a hit are counted until they differ (a run of twelve is a leak), else the whole item is laid over the place and its
-differing words counted.
+around a hit are counted until they differ (a run of twelve is a leak; every separate run of an alignment is counted), else the
+whole item is laid over the place and its differing words counted, once per alignment.
 
 Case, accents, punctuation and white space don't matter. Null and empty texts and items match nothing; items are processed in
 blocks of about ITEM_BLOCK, each block broadcast; documents are never shuffled and repeated rows count once; extra columns are not read.
@@ -99,12 +99,15 @@ class Items:
         words: list[str] = []
         tried: set[tuple[int, int]] = set()
         for machine in self.machines:
+            # End of the last compared run per alignment; hits come in the order of the text within one machine only.
+            compared: dict[tuple[int, int], int] = {}
             for start, owners in machine.search(shown):
                 if not words:
                     words = shown.split()
                 index = shown.count(" ", 0, start)
                 for item, at in owners:
-                    if item in found or (item, index - at) in tried:
+                    place = (item, index - at)
+                    if item in found or index < compared.get(place, 0):
                         continue
                     own = self.words[item]
                     low, high = 0, 0
@@ -115,7 +118,10 @@ class Items:
                     if low + high >= RUN_WORDS or low + high == len(own):
                         found.add(item)
                         continue
-                    tried.add((item, index - at))
+                    compared[place] = index + high
+                    if place in tried:
+                        continue
+                    tried.add(place)
                     begin = index - at
                     if begin < 0 or begin + len(own) > len(words):
                         continue

@@ -237,6 +237,16 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_a_later_run_of_the_same_alignment_is_a_leak():
+    own = [f"{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}woord" for k in range(43)]
+    text = lambda words, same: " ".join(w if any(a <= k < b for a, b in same) else f"anders{k}" for k, w in enumerate(words))
+    item = leaks.Items([(1, " ".join(own))])
+    assert item.leaks(text(own, [(0, 9), (11, 18), (25, 37)])) == {1}
+    assert item.leaks(text(own, [(0, 11), (12, 23), (24, 35)])) == set()
+    short = [w[:2] if k < 18 else w for k, w in enumerate(own)]  # its first blocks are searched after the others
+    assert leaks.Items([(1, " ".join(short))]).leaks(text(short, [(0, 12), (24, 33)])) == {1}
+
+
 # Problem 8
 
 
