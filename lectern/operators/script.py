@@ -21,6 +21,26 @@ DEFINING = "\\b(is een|zijn een|heet|heten|noemen we|betekent|wil zeggen)\\b"
 STOCK = "(?i)(^|[^\\p{L}\\p{N}_])(is|zijn|blijft|blijven)\\s+(nog\\s+)?geen([^\\p{L}\\p{N}_]|$)"
 SOURCE_TALK = "(?i)(^|[^\\p{L}\\p{N}_])(in de tekst|de tekst|de bron|volgens de bron|het boek|er staat|staat er)([^\\p{L}\\p{N}_]|$)"
 PHRASES = ["fascinerend", "goede vraag", "deep dive", "welkom bij", "welkom terug", "het mooie is", "samengevat", "samenvattend", "kortom", "in essentie", "in een notendop", "het grappige is", "eerlijk gezegd"]
+#: The reference's list; PHRASES, on which the SQL of the queries is built, has 11 of them and two of its own.
+BANNED_PHRASES = [
+    "dat is echt fascinerend", "fascinerend", "goede vraag", "goeie vraag", "geweldige vraag", "uitstekende vraag", "laten we eens duiken in",
+    "laten we duiken in", "duiken we in", "diep duiken", "deep dive", "aan het eind van de dag", "aan het einde van de dag", "welkom bij",
+    "welkom terug", "in deze aflevering", "vandaag gaan we het hebben over", "vandaag hebben we het over", "dat is een interessante",
+    "interessant punt", "super interessant", "heel interessant", "wat een reis", "game changer", "gamechanger", "het mooie is",
+    "laten we het even samenvatten", "om het samen te vatten", "samengevat", "samenvattend", "kortom", "dus wat hebben we geleerd",
+    "wat hebben we vandaag geleerd", "als we terugkijken", "even recapituleren", "de takeaway", "take-away", "belangrijkste inzicht", "ontrafelen",
+    "de essentie is", "in essentie", "in een notendop", "dat brengt ons bij", "dat brengt ons naadloos", "zonder verder oponthoud",
+    "zoals we allemaal weten", "het is belangrijk om te onthouden", "het is belangrijk om te benadrukken", "essentieel om te begrijpen",
+    "cruciaal om te begrijpen", "tot de volgende keer", "bedankt voor het luisteren",
+]
+_W, _S = "[\\p{L}\\p{N}_]", "[\\s\\p{Z}]"
+#: Named patterns over the stored text: name, severity, expression.
+PATTERNS = [
+    ("summary_opener", "blocking", f"(?iu)^{_S}*(dus|oké|ok|nou|goed)?[,.]?{_S}*(samengevat|samenvattend|kortom|om (het|dit|alles) (even )?samen te vatten|wat we (dus |nu )?(hebben )?geleerd (hebben)?|als (we|ik) (het )?even (terug|samen){_W}*)"),
+    ("not_x_but_y", "warning", f"(?iu){X.BEFORE}niet{_S}+(alleen{_S}+)?{_W}+({_S}+{_W}+){{0,4}},?{_S}+maar{_S}+(ook{_S}+)?{_W}+"),
+    ("three_part_flourish", "warning", f"(?iu){X.BEFORE}({_W}{{3,}}),{_S}+({_W}{{3,}}){_S}+en{_S}+({_W}{{3,}})[.!?]"),
+]
+FILLER = f"^(oké dus|oke dus|nou|dus|ja)[,.]?{_S}*"
 
 
 def script_lines(raw: DataFrame) -> DataFrame:
@@ -92,7 +112,7 @@ def coverage_rules(lines: DataFrame, claims: DataFrame, least: int = 3) -> DataF
 
 def phrase_rule(lines: DataFrame, phrases: list[str] | None = None) -> DataFrame:
     """banned_phrase: a phrase of the list as whole words; one pattern over all phrases keeps it one pass, one finding a line and phrase."""
-    listed = sorted(set(phrases or PHRASES))
+    listed = sorted(set(phrases or BANNED_PHRASES + PHRASES))
     text = F.lower(X.squash(F.col("text")))
     hits = F.filter(F.array(*map(F.lit, listed)), lambda p: F.rlike(text, X.whole_word(p)))
     alternatives = "|".join(f"\\Q{p}\\E" for p in listed)
@@ -100,6 +120,21 @@ def phrase_rule(lines: DataFrame, phrases: list[str] | None = None) -> DataFrame
     return _found(near, "banned_phrase", claim="phrase")
 
 
+def pattern_rules(lines: DataFrame, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """summary_opener, not_x_but_y, three_part_flourish: one finding a line and pattern, the severity given with the pattern."""
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("level"), F.lit(r).alias("pattern")) for n, s, r in (patterns or PATTERNS)])
+    hits = lines.select(*EPISODE, "line_id", F.explode(F.filter(rules, lambda r: F.rlike(F.col("text"), r["pattern"]))).alias("hit"))
+    return hits.select(*EPISODE, F.col("hit.name").alias("rule"), F.col("hit.level").alias("severity"), "line_id", F.lit(None).cast("string").alias("claim_id"))
+
+
+def definition_recital(lines: DataFrame, definitions: DataFrame) -> DataFrame:
+    """A line that reads out definitions(book_id, episode_id, term): what stands before its first colon, a filler word aside, is a term."""
+    bare = F.regexp_replace(F.lower(X.squash(F.col("text"))), FILLER, "")
+    head = lines.where(F.col("text").contains(":")).withColumn("term", F.trim(F.substring_index(bare, ":", 1)))
+    terms = definitions.select("book_id", "episode_id", F.trim(F.lower("term")).alias("term")).distinct()
+    return _found(head.join(terms, ["book_id", "episode_id", "term"]), "definition_recital", claim="term")
+
+
 def _markers(speakers: DataFrame) -> DataFrame:
     return speakers.select(F.lower("id").alias("owner"), F.explode("tic_markers").alias("marker")).where("trim(marker) <> ''").select("owner", F.lower("marker").alias("marker")).distinct()
 
@@ -228,6 +263,12 @@ def audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> DataFrame
     return out
 
 
+def full_audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """``audit`` with the named patterns and, where a plan's definitions are given, definition_recital."""
+    out = audit(lines, claims, speakers).unionByName(pattern_rules(lines))
+    return out if definitions is None else out.unionByName(definition_recital(lines, definitions))
+
+
 def verdicts(findings: DataFrame) -> DataFrame:
     """Counts by severity and whether the episode passes, per episode with findings."""
     return findings.groupBy(*EPISODE).agg(F.count_if(F.col("severity") == "blocking").alias("blocking"), F.count_if(F.col("severity") == "warning").alias("warnings"), (~F.bool_or(F.col("severity") == "blocking")).alias("passed"))

@@ -1,4 +1,4 @@
-"""Queries over dialogue scripts, each with independent SQL."""
+"""Queries over dialogue scripts, each with independent SQL; those of the named patterns and the full audit have none."""
 
 from __future__ import annotations
 
@@ -26,6 +26,10 @@ def _audit(spark: SparkSession, folder: str) -> DataFrame:
     return S.audit(_lines(spark, folder), table(spark, folder, "claims"), table(spark, folder, "speakers"))
 
 
+def _full_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return S.full_audit(_lines(spark, folder), table(spark, folder, "claims"), table(spark, folder, "speakers"))
+
+
 QUERIES = {
     "script_duplicate_lines": _on_lines(S.duplicate_lines),
     "script_frame_rules": _on_lines(S.frame_rules),
@@ -46,6 +50,10 @@ QUERIES = {
     "script_audit_verdicts": lambda spark, folder: S.verdicts(_audit(spark, folder)),
     "script_audit_by_rule": lambda spark, folder: _audit(spark, folder).groupBy("rule", "severity").count().withColumnRenamed("count", "findings"),
     "script_best_revision": lambda spark, folder: S.best_revision(_audit(spark, folder)),
+    "script_pattern_rules": _on_lines(S.pattern_rules),
+    "script_full_audit_verdicts": lambda spark, folder: S.verdicts(_full_audit(spark, folder)),
+    "script_full_audit_by_rule": lambda spark, folder: _full_audit(spark, folder).groupBy("rule", "severity").count().withColumnRenamed("count", "findings"),
+    "script_full_best_revision": lambda spark, folder: S.best_revision(_full_audit(spark, folder)),
     "script_turns": _on_lines(S.turns),
     "script_renumbered": _on_lines(S.renumbered),
     "script_latest_revision": lambda spark, folder: S.latest_revision(_lines(spark, folder)).select(*S.EPISODE, "line_id", "speaker", "pos"),

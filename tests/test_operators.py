@@ -64,6 +64,19 @@ def test_script_rules(spark, cast):
     assert found(S.audit(lines, claims, cast)) >= {("duplicate_line", "l003"), ("unknown_speaker", "l004")}
 
 
+def test_listed_phrases_patterns_and_recitals(spark, cast):
+    texts = ["Dat is een  Game Changer, en tot de volgende keer.", "OKÉ, kortom: het water stijgt.", "Het is niet alleen het water, maar ook de bodem.", "Dijken, dammen en sluizen.", "Nou, Kwel: water dat onder de dijk door komt.", "Kwelder en zo: niets.", None]
+    lines = S.script_lines(raw([(1, "body", k, k, "wende", t, [], [], None, 0) for k, t in enumerate(texts, 1)], spark))
+    assert {(r["line_id"], r["claim_id"]) for r in S.phrase_rule(lines).collect()} == {("l001", "game changer"), ("l001", "tot de volgende keer"), ("l002", "kortom")}
+    assert len(set(S.BANNED_PHRASES)) == 52
+    got = {(r["rule"], r["severity"], r["line_id"]) for r in S.pattern_rules(lines).collect()}
+    assert got == {("summary_opener", "blocking", "l002"), ("not_x_but_y", "warning", "l003"), ("three_part_flourish", "warning", "l004")}
+    terms = spark.createDataFrame([("b", "ch01", " kwel "), ("b", "ch02", "kwelder en zo"), ("b", "ch01", None)], "book_id string, episode_id string, term string")
+    assert found(S.definition_recital(lines, terms)) == {("definition_recital", "l005")}
+    claims = spark.createDataFrame([], "book_id string, chapter_id string, claim_id string, exam_relevance int")
+    assert found(S.full_audit(lines, claims, cast, terms)) >= {(r, i) for r, _, i in got} | {("definition_recital", "l005"), ("banned_phrase", "l001")}
+
+
 def test_rules_on_an_empty_script(spark, cast):
     lines = S.script_lines(raw([], spark))
     claims = spark.createDataFrame([], "book_id string, chapter_id string, claim_id string, exam_relevance int")
