@@ -6,6 +6,7 @@ book, however large, is spread over its units. Folds that need only running stat
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ TAG_LIFT = {"excited": 0.20, "laughs": 0.25, "laughing": 0.25, "deadpan": -0.20,
 CARRY, CROSS_CARRY, LEAST_LIFT, MOST_LIFT = 0.6, 0.2, 0.15, 0.95
 GAP, SEGMENT_GAP, QUICK_GAP, QUICK_WORDS, INTERRUPT_LEAD, BACKCHANNEL_POINT = (0.18, 0.42), (0.6, 0.9), (-0.06, 0.09), 6, 0.25, 0.6
 BLOCK_CHARS, SEGMENT_FILL, TURN_FILL = 3000, 0.4, 0.5
-REPEAT_CHARS, REPEAT_RATIO, REPEAT_LENGTH = 60, 88.0, 0.3
+REPEAT_CHARS, REPEAT_RATIO, REPEAT_LENGTH, GRAM_BUCKETS = 60, 88.0, 0.3, 256
 
 
 def lifted(tags: Column, base: Column) -> Column:
@@ -149,25 +150,52 @@ def unwritten_gaps(placed: DataFrame, most: float = 1.2) -> DataFrame:
     return placed.where("transition <> 'backchannel'").withColumn("gap_s", F.round(gap, 3)).where(F.col("gap_s") > most).select(*EPISODE, "turn_no", "gap_s")
 
 
+def _grams(text: str) -> np.ndarray:
+    """Number of the text's three-character pieces in each of GRAM_BUCKETS buckets."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
+
+
+def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Places of the kept texts that can reach REPEAT_RATIO; none that does is missed.
+
+    A text of n characters with c of them in common with one of m keeps all but 3 (n - c) + 2 (m - c) of its n - 2 pieces. Pieces
+    that share a bucket only raise the count.
+    """
+    near = np.flatnonzero(np.abs(lengths - n) < REPEAT_LENGTH * n)
+    common = np.ceil(REPEAT_RATIO / 200 * (lengths[near] + n) - 1e-6)
+    least = n - 2 - 3 * (n - common) - 2 * (lengths[near] - common)
+    shared = np.concatenate([np.minimum(kept[near[i : i + 4096]], grams).sum(axis=1) for i in range(0, len(near), 4096)] or [np.zeros(0)])
+    return near[(common <= np.minimum(lengths[near], n)) & (shared >= least)]
+
+
 def kept_paragraphs(paras: DataFrame) -> DataFrame:
-    """Greedy removal of repeats within a section: a paragraph goes if it is nearly the same as one that was kept before it.
+    """Greedy removal of repeats within a chapter: a paragraph goes if it is nearly the same as one that was kept before it, in its section or an earlier one.
 
-    Exact copies are found by key without comparing; only paragraphs of a similar length are compared.
+    Exact copies are found by key without comparing; else only paragraphs of a similar length with enough three-character pieces in
+    common are compared. A section without chapter (or paragraphs without the columns chapter_id and section_no) is a chapter of its own.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("para_no")
+        part = part.sort_values(["section_no", "section_id", "para_no"])
         kept: list[str] = []
         seen: set[str] = set()
+        lengths, grams = np.zeros(64, dtype=np.int64), np.zeros((64, GRAM_BUCKETS), dtype=np.int32)
         out = []
         for text in part["norm"]:
-            n = len(text)
-            repeat = n >= REPEAT_CHARS and (text in seen or any(abs(len(k) - n) < REPEAT_LENGTH * n and indel_ratio(k, text) >= REPEAT_RATIO for k in kept))
+            n, own, k = len(text), _grams(text) if len(text) > 2 else np.zeros(GRAM_BUCKETS, dtype=np.int32), len(kept)
+            repeat = n >= REPEAT_CHARS and (text in seen or any(indel_ratio(kept[i], text) >= REPEAT_RATIO for i in _may_repeat(n, own, lengths[:k], grams[:k])))
             out.append(not repeat)
             if not repeat:
+                if k == len(lengths):
+                    lengths, grams = np.concatenate([lengths, np.zeros_like(lengths)]), np.concatenate([grams, np.zeros_like(grams)])
+                lengths[k], grams[k] = n, own
                 kept.append(text)
                 seen.add(text)
         return part.assign(kept=out)[["book_id", "section_id", "para_no", "kept"]]
 
-    rows = paras.select("book_id", "section_id", "para_no", F.lower(X.squash(F.col("para"))).alias("norm"))
-    return rows.groupBy("book_id", "section_id").applyInPandas(fold, "book_id string, section_id string, para_no int, kept boolean")
+    known = {"chapter_id", "section_no"} <= set(paras.columns)
+    chapter, section_no = (F.col("chapter_id"), F.col("section_no")) if known else (F.lit(None).cast("string"), F.lit(None).cast("int"))
+    alone = F.when(chapter.isNull(), F.col("section_id"))
+    rows = paras.select("book_id", "section_id", "para_no", chapter.alias("chapter_id"), section_no.alias("section_no"), alone.alias("alone"), F.lower(X.squash(F.col("para"))).alias("norm"))
+    return rows.groupBy("book_id", "chapter_id", "alone").applyInPandas(fold, "book_id string, section_id string, para_no int, kept boolean")

@@ -30,9 +30,9 @@ def lines(sections: DataFrame) -> DataFrame:
 
 
 def paragraphs(sections: DataFrame) -> DataFrame:
-    """(book_id, section_id, para_no, para): stretches between blank lines, trimmed, empty ones left out before numbering."""
+    """(book_id, section_id, para_no, para, chapter_id, section_no): stretches between blank lines, trimmed, empty ones left out before numbering."""
     kept = F.filter(F.transform(F.split("text", "\\n[ \\t]*\\n"), lambda p: F.trim(p, F.lit(" \n\t"))), lambda p: p != "")
-    return texts_once(sections).select(*SECTION, F.posexplode(kept).alias("para_no", "para"))
+    return texts_once(sections).select(*SECTION, F.posexplode(kept).alias("para_no", "para"), "chapter_id", "section_no")
 
 
 def rejoined(paras: DataFrame) -> DataFrame:

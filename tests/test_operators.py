@@ -5,6 +5,7 @@ import math
 import random
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,29 @@ def test_folds(spark, cast):
     assert kept == [True, False, M.indel_ratio(a, c) < W.REPEAT_RATIO, True, True]
 
 
+def test_repeats_go_across_the_sections_of_a_chapter(spark):
+    a = "de dijk houdt het water tegen en dat is al eeuwen lang precies zo gebleven"
+    b = a.replace("eeuwen", "jaren")
+    assert M.indel_ratio(a, b) >= W.REPEAT_RATIO
+    rows = [("b", "c1", "s9", 1, a), ("b", "c1", "s1", 2, "kort\n\n" + b), ("b", "c2", "s2", 3, a), ("b", None, "s3", 4, a), ("b", None, "s4", 5, a), ("d", "c1", "s1", 2, b)]
+    sections = spark.createDataFrame([(*r[:4], "t", r[4]) for r in rows], "book_id string, chapter_id string, section_id string, section_no int, title string, text string")
+    got = {(r["book_id"], r["section_id"], r["para_no"]): r["kept"] for r in W.kept_paragraphs(D.paragraphs(sections)).collect()}
+    assert got == {("b", "s9", 0): True, ("b", "s1", 0): True, ("b", "s1", 1): False, ("b", "s2", 0): True, ("b", "s3", 0): True, ("b", "s4", 0): True, ("d", "s1", 0): True}
+
+
+def test_no_repeat_is_lost_by_the_filter():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = "".join(rng.choice("abcde 𝔸") for _ in range(rng.randint(60, 120)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "a"])
+        b = "".join(b)
+        passed = len(W._may_repeat(len(b), W._grams(b), np.array([len(a)]), W._grams(a)[None])) == 1
+        assert passed or M.indel_ratio(a, b) < W.REPEAT_RATIO or abs(len(a) - len(b)) >= W.REPEAT_LENGTH * len(b)
+
+
 def test_results_do_not_depend_on_partitions(spark, cast):
     lines = S.script_lines(raw(SCRIPT, spark))
     assert found(S.overlap_rules(lines.repartition(1))) == found(S.overlap_rules(lines.repartition(7)))
