@@ -45,8 +45,11 @@ _PART_WORDS = "|".join(f"{p}|{p.upper()}|{p[0].upper()}{p[1:]}" for p in _PARTS.
 _SUR = f"(?:[Dd]['’])?[{_UP}][{_UP}{_LOW}'’]+(?:-[{_UP}][{_UP}{_LOW}'’]+)?"
 _NAME = re.compile(f"(?<![\\w@.'’-])(?:(?P<given>[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?|[{_UP}]{{3,}})[  ](?P<mid>(?:[A-Z]\\.[  ]?){{0,3}})|(?P<init>(?:[A-Z]\\.[  ]?){{1,4}}))(?P<part>(?:(?:{_PART_WORDS})[  ]){{0,2}})(?P<sur>{_SUR})(?![\\w@])")
 _LOWER_NAME = re.compile(f"(?:groet(?:en)?,\\n|regards,\\n|Grüßen,?\\n|Cordialement,\\n|saludo,\\n|naam=|contact: |mevr\\. |dhr\\. |Mrs?\\. |naam is |[Nn]ame is |Name ist |llamo |appelle |anders aan )(?P<name>(?P<given>[{_LOW}]{{3,}})(?: (?:[{_LOW}]\\.)+)?(?: (?:{_PARTS}))*(?: [{_LOW}][{_LOW}'’-]{{3,}})?)(?=\\n|[;,]| \\(| en ik| and I| et j| y ten| und ich| staat| at \\d|$)")
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?(?:\s?@\s?|\s?[\[({]\s?(?:at|apenstaart|arobase|arroba|ät)\s?[\])}]\s?|\s(?:at|apenstaart|apestaart|arobase|arroba)\s)(?:[A-Za-z0-9-]+(?:\.|\s?[\[({]\s?(?:dot|punt|point|punto|punkt)\s?[\])}]\s?|\s(?:dot|punt|point|punto|punkt)\s))+[A-Za-z]{2,}\b")
-_MAY_EMAIL = re.compile(r"@|[\[({]\s?(?:at|apenstaart|arobase|arroba)|\s(?:apenstaart|apestaart|arobase|arroba)\s|\sat\s[\w.-]+\s(?:dot|punt)\s")
+_AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|apenstaart|arobase|arroba|ät)\s?[\])}]\s?|\s(?:at|apenstaart|apestaart|arobase|arroba)\s)"
+_DOMAIN = r"(?:[A-Za-z0-9-]+(?:\.|\s?[\[({]\s?(?:dot|punt|point|punto|punkt)\s?[\])}]\s?|\s(?:dot|punt|point|punto|punkt)\s))+[A-Za-z]{2,}\b"
+_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?" + _AT + _DOMAIN)
+#: The end of every address; cheap, as it starts at a sign or word for "at".
+_MAY_EMAIL = re.compile(_AT.replace(r"\s?@", "@").replace(r"\s?[\[({]", r"[\[({]") + _DOMAIN)
 _PHONE = re.compile(r"(?<![\w.,+-])(?:\+\d{1,3}[  .\-/]?|00\d{2}[  .\-/]?)?(?:\(\d{1,5}\)[  .\-/]?)?\d(?:[  .\-/]{0,2}\d){5,13}(?![\w])")
 _ID = re.compile(r"(?<![\w.+-])(?:\d{4}\.\d{2}\.\d{3}|\d{3}[ .]\d{3}[ .]\d{3}|\d{2} \d{3} \d{3} \d{3}|\d{3}[- ]\d{2}[- ]\d{4}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]{2}[A-Z0-9]\d[A-Z0-9]\d{4}|[A-Z]{2}[A-Z0-9]{6}\d|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9}|\d{11}|\d{13,15}|[A-Z]\d{7,8}|[CFGHJKLMNPRTVWXYZ0-9]{9})(?!\w|[.,-]\d)")
 _HOUSE = r"\d{1,4}(?:[  ]?(?:bis|ter|hs|huis)\b|[  ]?-[  ]?\d{1,3}\b|[  ]?[A-Za-z]\b(?!['’.])|\b)"

@@ -307,6 +307,11 @@ def test_pii(spark):
     assert masked[0] == "Mijn naam is <NAME> en bel <PHONE> of mail <EMAIL>." and masked[8] == PII[8][0] and masked[900] is None and masked[901] == ""
 
 
+@pytest.mark.parametrize("text", ["jan at voorbeeld punkt de", "jan at example.org", "jan at example [dot] org", "jan at example point fr", "jan (ät) example.org", "jan apestaart example punto es", "jan@example.org"])
+def test_an_address_is_proposed_in_every_form(text):
+    assert [(c[0], c[1], c[2]) for c in pii.candidates(f"mail: {text}") if c[0] == "email"] == [("email", 6, 6 + len(text))]
+
+
 def test_label_model_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
