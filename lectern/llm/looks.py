@@ -120,6 +120,6 @@ def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes that look the same but differ, grouped by skeleton."""
+    """Quotes and section texts that look the same but differ, grouped by skeleton."""
     bounded_arrow_batches(spark)
-    return same_look_groups(_records(spark, folder).where("field = 'claims.quote'"), "text")
+    return same_look_groups(_records(spark, folder), "text")

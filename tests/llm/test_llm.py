@@ -156,6 +156,15 @@ def test_looks_of_tables(spark, tables):
     assert {(r["form"], r["uses"]) for r in looks.p5_groups(spark, folder).collect()} == {("wаter", 2), ("water", 1)}
 
 
+def test_section_texts_are_grouped_by_looks(spark, tables):
+    claims = spark.createDataFrame([("b", "c", "c1", ("water",))], "book_id string, chapter_id string, claim_id string, span struct<quote: string>")
+    folder = tables(sections=sections(spark, ["De dijk.", "De d\u0456jk.", "wat\u0435r", "anders", None]), claims=claims)
+    groups = {}
+    for r in looks.p5_groups(spark, folder).collect():
+        groups.setdefault(r["look"], set()).add(r["form"])
+    assert sorted(map(sorted, groups.values())) == [["De dijk.", "De d\u0456jk."], ["water", "wat\u0435r"]]
+
+
 # Problem 6
 
 SENTENCES = [
