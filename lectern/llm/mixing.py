@@ -138,3 +138,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p8_shares_all(spark: SparkSession, folder: str) -> DataFrame:
     """Shares when as many tokens are wanted as there are once."""
     return mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"), total="all")[1]
+
+
+def p8_mix_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each mix with their repeats when as many tokens are wanted as there are once."""
+    return mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"), total="all")[0]

@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": leaks.p7_found,
     "p7_leaks": leaks.p7_leaks,
     "p8_mix": mixing.p8_mix,
+    "p8_mix_all": mixing.p8_mix_all,
     "p8_shares": mixing.p8_shares,
     "p8_shares_all": mixing.p8_shares_all,
     "p9_found": pii.p9_found,

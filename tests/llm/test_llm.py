@@ -282,6 +282,14 @@ def test_mix(spark):
     assert again == {(r["doc_id"], r["repeats"]) for r in used}
 
 
+def test_a_small_source_does_not_shrink_the_whole_mix(spark, tables):
+    docs = [(i, "big", "woord " * 20) for i in range(50)] + [(100, "tiny", "woord " * 20)]
+    folder = tables(documents=spark.createDataFrame(docs, "doc_id long, source string, text string"), mix_targets=spark.createDataFrame([("m", "big", 0.8, 1), ("m", "tiny", 0.2, 1)], "mix_name string, source string, weight double, max_repeats int"))
+    rows = queries.QUERIES["p8_mix_all"](spark, folder).collect()
+    assert {r["doc_id"] for r in rows} == {d[0] for d in docs} and {r["repeats"] for r in rows} == {1}
+    assert queries.QUERIES["p8_mix"](spark, folder).count() < 10
+
+
 # Problem 9
 
 PII = [
