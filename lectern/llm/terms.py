@@ -1,8 +1,8 @@
 """Problem 4: how often every distinct term occurs and in how many records, with a mark for too rare or too common.
 
-Method: (term, record) pairs, counted inside each record, are range-partitioned by term and record, sorted there and scanned
-run by run. A hot term is spread over several ranges because the record is part of the range key; the scan leaves one partial
-row per term and range, and those few rows are added up.
+Method: (term, record) pairs, counted as runs of sorted words inside each record, are range-partitioned by term and record and
+counted by Spark's hash aggregates, which replace a sorted scan across records (the optimizer drops the sort before them). A hot
+term is spread over several ranges because the record is part of the range key; the partial rows are added up.
 
 Null and empty texts have no terms but count as records; a row repeated in full is the same (term, record) run and counts once;
 other columns are not read. Empty tables give no rows.
