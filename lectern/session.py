@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Defaults for local runs; a cluster's own settings win because they are set before the session exists.
 DEFAULTS = {
@@ -48,3 +49,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def bounded_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches of long texts small, so that a Python worker holds a few MB at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Rows up to which a table of short rows (keys and a few words) is broadcast; some tens of MB at most.
+BROADCAST_ROWS = 100_000
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that several readers share one computation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def sized_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df as a join's side: broadcast if it was counted and has at most ``most`` rows, else merge-joined, which has no size limit.
+
+    df should be kept() or cheap, as it is counted here.
+    """
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df.hint("merge")
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df as the side of a merge join: for tables that grow with the data, whatever size the optimizer guesses."""
+    return df.hint("merge")
