@@ -67,34 +67,36 @@ _DIGIT = "[0-9oil|!sgb]"
 _LABEL = re.compile(f"(?<![a-z0-9])(?:c[hb]\\s?{_DIGIT}{{2,3}}|(?:{'|'.join(CHAPTER_WORDS)})\\s+{_DIGIT}{{1,3}}\\.?)(?![a-z0-9])")
 _NUMBER = re.compile(f"(?<![a-z0-9]){_DIGIT}*[0-9]{_DIGIT}*(?![a-z0-9])")
 _PAGE = re.compile(f"[\\[({{~–—-]*\\s*(?:(?:{'|'.join(PAGE_WORDS)})\\b\\.?\\s*)?({_DIGIT}*[0-9]{_DIGIT}*|[ivxlc]+)\\s*(?:(?:{'|'.join(OF_WORDS)}|/)\\s*{_DIGIT}*[0-9]{_DIGIT}*)?\\s*[\\])}}~–—-]*")
+# Fixed value: no book has pages of more digits.
+PAGE_DIGITS = 5
 _TO_DIGIT = str.maketrans("oil|!sgb", "01111596")
 _ROW = re.compile("[^|]*\\w \\| \\w[^\n]*")
 _LABEL_KEYS = ["", *(_NOT_AZ.sub("", glyphs_of(w)) for w in [*CHAPTER_WORDS, "ch"])]
+#: Key of a line that holds nothing but a chapter's label.
+LABEL_ONLY = "#label"
 
 
-def is_header(folded: str, key: str) -> bool:
-    """Nothing but the book's title (key) or the chapter's label, with or without a page number."""
-    if not folded or len(folded) > 120:
-        return False
+def masked_keys(folded: str) -> set[str]:
+    """Keys under which printed lines that differ in their numbers only are the same: letters of the skeleton with digits masked,
+    with and without chapter label and number. A line without letters has none."""
     bare = _LABEL.sub(" ", folded)
     without = _NUMBER.sub(" ", bare)
+    out = {_NOT_AZ.sub("", glyphs_of(form)) for form in {without, bare, folded}} - {""}
     if bare != folded and not any(c.isalpha() for c in without):
-        return True
-    if len(key) < 4 or abs(len(folded) - len(key)) > 60 + len(key):
-        return False
-    for form in (without, bare, folded):
-        letters = _NOT_AZ.sub("", glyphs_of(form))
-        if letters == key or letters.endswith(key) and letters[: -len(key)] in _LABEL_KEYS:
-            return True
-    return False
+        out.add(LABEL_ONLY)
+    return out
+
+
+def header_keys(title: str | None) -> set[str]:
+    """Keys of the headers that a book of this title can have."""
+    key = title_key(title)
+    return {LABEL_ONLY, *({label + key for label in _LABEL_KEYS} if len(key) >= 4 else ())}
 
 
 def page_number(folded: str) -> int | None:
     """The number of a line that holds only a page number and its trimmings (0 for roman numbers), else None."""
-    if not folded or len(folded) > 40:
-        return None
-    m = _PAGE.fullmatch(folded)
-    if not m or len(m.group(1)) > 5:
+    m = _PAGE.fullmatch(folded) if folded else None
+    if not m or len(m.group(1)) > PAGE_DIGITS:
         return None
     digits = m.group(1).translate(_TO_DIGIT)
     return int(digits) if digits.isdecimal() and any(c.isdecimal() for c in m.group(1)) else 0
@@ -103,10 +105,10 @@ def page_number(folded: str) -> int | None:
 BLANK, BODY, TABLE, HEADER, PAGE = "blank", "body", "table", "header", "page_number"
 
 
-def classify(lines: list[str], key: str, lo: int | None = None, hi: int | None = None) -> list[str]:
-    """The kind of every line. A bare number is a page number if it fits the section's pages, and in a table only beside a header."""
+def classify(lines: list[str], headers: set[str], lo: int | None = None, hi: int | None = None) -> list[str]:
+    """The kind of every line; headers are the masked keys of the book's running headers. A bare number is a page number if it fits the section's pages, and in a table only beside a header."""
     folded = [fold(x).strip() for x in lines]
-    kinds = [BLANK if not f else HEADER if is_header(f, key) else BODY for f in folded]
+    kinds = [BLANK if not f else HEADER if not headers.isdisjoint(masked_keys(f)) else BODY for f in folded]
     start, n = 0, len(lines)
     while start < n:
         stop = start

@@ -54,7 +54,7 @@ def _blanked(text: str, title: str | None) -> str:
     lines = text.split("\n")
     if len(lines) < 2:
         return text
-    kinds = L.classify(lines, L.title_key(title))
+    kinds = L.classify(lines, L.header_keys(title))
     if L.HEADER not in kinds and L.PAGE not in kinds:
         return text
     n, out, joint = len(lines), list(lines), [False] * len(lines)

@@ -49,7 +49,7 @@ def test_scanned_noise(spark, tables):
 
 
 def test_lines():
-    key = lines.title_key("Inleiding Dijkleer")
+    key = lines.header_keys("Inleiding Dijkleer")
     kinds = lines.classify(["43   ch04", "I N L E I D I N G   D I J K L E E R", "blz. 7 van 90", "[l43]", "xxi", "2005.", "Tekst.", "", "[tabel]", "1 | 2", "12"], key)
     assert kinds == ["header", "header", "page_number", "page_number", "page_number", "body", "body", "blank", "table", "table", "table"]
 
