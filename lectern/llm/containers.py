@@ -155,8 +155,9 @@ def p3_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks that packing had to split."""
-    return p3_blocks(spark, folder).where("pieces > 1").select("book_id", "episode_id", "block_id").distinct()
+    """The blocks that packing had to split: those that lie in more than one container."""
+    placed = p3_blocks(spark, folder).groupBy("book_id", "episode_id", "block_id").agg(F.min("container").alias("one"), F.max("container").alias("other"))
+    return placed.where("one <> other").select("book_id", "episode_id", "block_id")
 
 
 P3_FOUND_SQL = """

@@ -6,15 +6,18 @@ pattern can end, a hash of the last character block selects the patterns to comp
 around a hit are counted until they differ (a run of twelve is a leak; every separate run of an alignment is counted), else the
 whole item is laid over the place and its differing words counted, once per alignment.
 
-Case, accents, punctuation and white space don't matter. Null and empty texts and items match nothing; items are processed in
-blocks of about ITEM_BLOCK, each block broadcast; documents are never shuffled and repeated rows count once; extra columns are not read.
+What an item's block finds in a text depends on that item only; of overlapping finds in a document the ones with fewest changes
+stay, and that is decided over all items. So the blocks of items in which the search goes change nothing but its memory.
+
+Case, accents, punctuation and white space don't matter. Null and empty texts and items match nothing; documents are read once
+for every SHIPPED_CHARS of items (once for some hundred thousand items), never shuffled; repeated rows count once; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,9 +28,9 @@ from pyspark.sql import types as T
 from lectern.session import bounded_arrow_batches
 from lectern.sources.tables import table
 
-RUN_WORDS, CHANGED_WORDS, ITEM_BLOCK = 12, 4, 2000
-#: An item this short may share its frame with others; then a changed copy must keep one of its rare words.
-SHORT_WORDS = 20
+RUN_WORDS, CHANGED_WORDS = 12, 4
+#: Items whose tables a worker holds at a time, and characters of items that are broadcast at a time.
+ITEM_BLOCK, SHIPPED_CHARS = 2000, 64_000_000
 _GAPS = re.compile("[\\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff]+")
 
@@ -74,13 +77,15 @@ class Machine:
             at += 1
 
 
+#: What is found in one text: (item, words that differ, first word, word after the last). An exact run has none that differ.
+Find = tuple[int, int, int, int]
+
+
 class Items:
     """The items' words and the machines that find their blocks."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.words = {i: words_of(t) for i, t in items if isinstance(t, str) and words_of(t)}
-        uses = Counter(w for x in self.words.values() for w in set(x))
-        self.rare = {i: {w for w in x if uses[w] <= 2 and not w.isdigit()} for i, x in self.words.items()}
         long: dict[str, list[tuple[int, int]]] = defaultdict(list)
         short: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, x in self.words.items():
@@ -91,12 +96,11 @@ class Items:
                 (long if len(pattern) >= 20 else short)[pattern].append((i, at))
         self.machines = [Machine(p, b) for p, b in ((long, 6), (short, 4)) if p]
 
-    def leaks(self, text: str) -> set[int]:
-        """Items that the text holds."""
-        shown = normal(text)
-        found: set[int] = set()
-        whole: list[tuple[int, int, int, int]] = []
+    def finds(self, shown: str) -> list[Find]:
+        """What a text in normal form holds of each item."""
+        out: list[Find] = []
         words: list[str] = []
+        sure: set[int] = set()
         tried: set[tuple[int, int]] = set()
         for machine in self.machines:
             # End of the last compared run per alignment; hits come in the order of the text within one machine only.
@@ -107,7 +111,7 @@ class Items:
                 index = shown.count(" ", 0, start)
                 for item, at in owners:
                     place = (item, index - at)
-                    if item in found or index < compared.get(place, 0):
+                    if item in sure or index < compared.get(place, 0):
                         continue
                     own = self.words[item]
                     low, high = 0, 0
@@ -116,7 +120,8 @@ class Items:
                     while at + high < len(own) and index + high < len(words) and own[at + high] == words[index + high]:
                         high += 1
                     if low + high >= RUN_WORDS or low + high == len(own):
-                        found.add(item)
+                        sure.add(item)
+                        out.append((item, 0, index - low, index + high))
                         continue
                     compared[place] = index + high
                     if place in tried:
@@ -125,52 +130,70 @@ class Items:
                     begin = index - at
                     if begin < 0 or begin + len(own) > len(words):
                         continue
-                    changed, kept = 0, False
-                    for k, w in enumerate(own):
-                        if w != words[begin + k]:
-                            changed += 1
-                            if changed > CHANGED_WORDS:
-                                break
-                        elif w in self.rare[item]:
-                            kept = True
-                    if changed <= CHANGED_WORDS and (kept or len(own) > SHORT_WORDS or not self.rare[item]):
-                        whole.append((changed, item, begin, begin + len(own)))
-        taken: list[tuple[int, int, int]] = []
-        for changed, item, begin, end in sorted(whole):
-            if not any(begin < e and b < end and c < changed for c, b, e in taken):
-                taken.append((changed, begin, end))
-                found.add(item)
-        return found
-
-
-def _leaked(shared):
-    """The search over one block of items as a column function."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def leaked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = shared.value
+                    changed = 0
+                    for w, x in zip(own, words[begin : begin + len(own)]):
+                        changed += w != x
+                        if changed > CHANGED_WORDS:
+                            break
+                    else:
+                        out.append((item, changed, begin, begin + len(own)))
+        return out
+
+
+def settled(finds: list[Find]) -> list[int]:
+    """Items that stay: an altered copy gives way to a find with fewer changes that shares words with it, as items share their frames."""
+    taken: list[tuple[int, int, int]] = []
+    out: set[int] = set()
+    for changed, item, begin, end in sorted((c, i, a, b) for i, c, a, b in finds):
+        if not any(begin < e and b < end and c < changed for c, b, e in taken):
+            taken.append((changed, begin, end))
+            out.add(item)
+    return sorted(out)
+
+
+_FINDS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("changed", "first", "after")]]))
+
+
+def _found(shared):
+    """What every text holds of the items broadcast: items come as text, and the tables of one block of them at a time are built from it."""
+
+    @F.pandas_udf(_FINDS)
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = shared.value
+        blocks = range(0, len(items), ITEM_BLOCK)
+        only = Items(items) if len(blocks) == 1 else None
         for part in parts:
-            yield part.map(lambda t: sorted(block.leaks(t)) if isinstance(t, str) else [])
+            shown = [normal(t) if isinstance(t, str) else " " for t in part]
+            out: list[list[Find]] = [[] for _ in shown]
+            for start in blocks:
+                block = only or Items(items[start : start + ITEM_BLOCK])
+                for rows, text in zip(out, shown):
+                    rows.extend(block.finds(text))
+            yield pd.Series(out)
+
+    return found
+
 
-    return leaked
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _settled(finds: pd.Series) -> pd.Series:
+    return finds.map(lambda rows: settled([(r["item"], r["changed"], r["first"], r["after"]) for r in rows]))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> (doc_id, item_id)."""
     spark = documents.sparkSession
-    bounded_arrow_batches(spark)
     numbered = items.where("text is not null").select("item_id", "text").dropDuplicates(["item_id"])
-    total = numbered.count()
-    blocks = numbered.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(-(-total // ITEM_BLOCK) or 1)))
-    out = None
-    for (number,) in sorted(blocks.select("block").distinct().collect()):
-        own = [tuple(r) for r in blocks.where(F.col("block") == number).select("item_id", "text").collect()]  # about ITEM_BLOCK rows
-        leaked = _leaked(spark.sparkContext.broadcast(Items(own)))
-        found = documents.where("text is not null").select("doc_id", F.explode(leaked("text")).alias("item_id"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = documents.select("doc_id", F.lit(0).cast("long").alias("item_id")).where("false")
-    return out.distinct()
+    rows, chars = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    # Beyond one block, larger batches of texts spread the cost of building a block's tables.
+    bounded_arrow_batches(spark, 256 if rows <= ITEM_BLOCK else 4096)
+    shipments = -(-chars // SHIPPED_CHARS) or 1
+    shipped = numbered.withColumn("shipment", F.pmod(F.xxhash64("item_id"), F.lit(shipments)))
+    finds = []
+    for number in range(shipments):
+        own = sorted(tuple(r) for r in shipped.where(F.col("shipment") == number).select("item_id", "text").collect())  # about SHIPPED_CHARS
+        finds.append(_found(spark.sparkContext.broadcast(own))("text"))
+    each = documents.where("text is not null").select("doc_id", F.concat(*finds).alias("finds")).where("size(finds) > 0")
+    return each.select("doc_id", F.explode(_settled("finds")).alias("item_id")).distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

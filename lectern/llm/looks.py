@@ -8,8 +8,6 @@ Nulls stay null and have no disguise; an empty text has none; repeated rows coun
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import scripts as S
-from lectern.session import bounded_arrow_batches
+from lectern.session import bounded_arrow_batches, kept, merged, sized_side
 from lectern.sources.tables import table
 
 KINDS = ("compat", "combining", "invisible", "space", "lookalike")
-_SEARCH = {"compat": re.compile(f"[{re.escape(''.join(S.COMPAT))}]").search, "invisible": re.compile(f"[{re.escape(S.INVISIBLE)}]").search, "space": re.compile(f"[{re.escape(S.SPACES)}]").search, "lookalike": S.LOOKALIKE_WORD.search}
-_MARKED = re.compile(f"[^\\W\\d_][{S.MARKS}]")
+
+
 def _ranges(chars: str) -> str:
     """The characters as the body of a class, neighbours as ranges: Java tests a class range by range."""
     out, codes = [], sorted(set(map(ord, chars)))
@@ -41,22 +39,19 @@ SUSPECT = f"[^\\t\\n -~](?:(?<=[{_PLAIN}{S.MARKS}])|(?<=[{_FOREIGN}])(?=[A-Za-z
 
 
 def disguise_kinds(text: str) -> list[str]:
-    """The kinds of disguise in one text, in the order of KINDS; each is a difference between a text and its unified form."""
-    found = []
-    for kind in KINDS:
-        if kind == "combining":
-            hit = any(len(unicodedata.normalize("NFC", m.group())) == 1 for m in _MARKED.finditer(text))
-        else:
-            hit = _SEARCH[kind](text) is not None
-        if hit:
-            found.append(kind)
-    return found
+    """The kinds of disguise in one text, in the order of KINDS: the steps on the way to its skeleton that change it."""
+    changed, before = set(), text
+    for kind, after in S.skeleton_steps(text):
+        if after != before:
+            changed.add(kind)
+        before = after
+    return [k for k in KINDS if k in changed]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _kinds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
-        yield part.map(lambda t: disguise_kinds(t) if isinstance(t, str) and S.one_form(t) != t else [])
+        yield part.map(lambda t: disguise_kinds(t) if isinstance(t, str) else [])
 
 
 @F.pandas_udf(T.StringType())
@@ -84,13 +79,19 @@ def skeleton_of(column: str) -> Column:
 def same_look_groups(df: DataFrame, column: str) -> DataFrame:
     """One row per distinct text that shares its skeleton with another: its class (hash of the skeleton), uses and the class's size.
 
-    Texts are counted before the shuffle by skeleton, so copies of one text never meet in one task as rows; the class size is
-    an aggregate joined back, so no class is collected either.
+    Only hashes are grouped: texts of plain characters are their own skeleton and never leave the JVM. Copies are counted before
+    the shuffle by skeleton, so they never meet in one task as rows; class sizes are an aggregate joined back. Only texts of
+    classes with several forms are then read and shuffled.
     """
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("uses"))
-    keyed = texts.withColumn("look", F.sha2(_skeleton("form"), 256))
-    sizes = keyed.groupBy("look").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    return keyed.join(sizes, "look")
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("form"))
+    own = F.sha2("form", 256)
+    plain = texts.where(~F.col("form").rlike("[^\\x00-\\x7f]")).select(own.alias("id"), own.alias("look"))
+    other = texts.where(F.col("form").rlike("[^\\x00-\\x7f]")).select(own.alias("id"), F.sha2(_skeleton("form"), 256).alias("look"))
+    uses = plain.unionByName(other).groupBy("look", "id").agg(F.count(F.lit(1)).alias("uses"))
+    sizes = uses.groupBy("look").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    shared = kept(uses.join(merged(sizes), "look"))
+    forms = texts.withColumn("id", own).join(sized_side(shared.select("id")), "id", "left_semi").groupBy("id").agg(F.first("form").alias("form"))
+    return shared.join(merged(forms), "id").select("form", "uses", "look", "forms")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

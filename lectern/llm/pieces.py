@@ -1,8 +1,10 @@
 """Problem 2: splitting oversized items at natural boundaries.
 
-Method: a hierarchy of separators, section, paragraph, sentence, word, character. A text within the limit is one piece. A longer
-one is packed greedily: each piece ends at the last paragraph boundary that fits, else the last sentence boundary, else the last
-white space, else at the limit; the next piece begins the stated overlap before that end, so nothing is lost and the order holds.
+Method: a recursive hierarchy of separators: section, paragraph, sentence, word, character. A text within the limit is one unit; a
+longer one falls into its paragraphs, a paragraph over the limit into sentences, such a sentence into words, such a word into
+characters. Units are packed greedily up to the limit; where the next unit doesn't fit and the piece is not yet half full, the
+unit itself is cut at the next finer separator that fits. The next piece begins the stated overlap before the end of the last,
+so nothing is lost and the order holds. cut_level is the depth the recursion needs.
 
 Null texts have no piece, empty ones one empty piece; repeated rows count once; positions count characters; extra columns are not
 read. The limit and the overlap come from part_limits, else the defaults below.
@@ -11,6 +13,7 @@ read. The limit and the overlap come from part_limits, else the defaults below.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -28,6 +31,37 @@ _BLANK = re.compile("\\n[^\\S\\n]*\\n\\s*")
 _SPACE = re.compile("\\s+")
 
 
+LEVELS = ("section", "paragraph", "sentence", "word", "character")
+
+
+class Boundaries:
+    """The places between units of one text, by level."""
+
+    def __init__(self, text: str, sentences: list[int]) -> None:
+        self.text = text
+        self.points = {"paragraph": [m.end() for m in _BLANK.finditer(text)], "sentence": sorted(sentences), "word": [m.end() for m in _SPACE.finditer(text)]}
+
+    def inside(self, level: str, a: int, b: int) -> list[int]:
+        """Places of a level strictly between a and b."""
+        points = self.points[level]
+        return points[bisect.bisect_right(points, a) : bisect.bisect_left(points, b)]
+
+    def last(self, level: str, a: int, most: int) -> int | None:
+        """The last place of a level after a, up to most."""
+        points = self.points[level]
+        at = bisect.bisect_right(points, most) - 1
+        return points[at] if at >= 0 and points[at] > a else None
+
+    def units(self, a: int, b: int, limit: int, depth: int = 0) -> list[tuple[int, int, int]]:
+        """(start, end, depth) of the coarsest units within the limit (outer white space aside), in order."""
+        if b - a <= limit or len(self.text[a:b].strip()) <= limit:
+            return [(a, b, depth)]
+        if depth + 1 == len(LEVELS) - 1:
+            return [(i, min(i + limit, b), depth + 1) for i in range(a, b, limit)]
+        edges = [a, *self.inside(LEVELS[depth + 1], a, b), b]
+        return [u for i, j in itertools.pairwise(edges) for u in self.units(i, j, limit, depth + 1)]
+
+
 def cut_points(text: str, sentences: list[int], limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, level of the boundary at the end) of the pieces; the last piece's level is 'end'."""
     if limit < 1 or overlap < 0 or overlap >= limit:
@@ -35,38 +69,34 @@ def cut_points(text: str, sentences: list[int], limit: int, overlap: int) -> lis
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
-    levels = (("paragraph", [m.end() for m in _BLANK.finditer(text)]), ("sentence", sorted(sentences)), ("word", [m.end() for m in _SPACE.finditer(text)]))
-    out, start = [], 0
-    while n - start > limit:
-        least, most = start + overlap, start + limit
-        for level, points in levels:
-            at = bisect.bisect_right(points, most) - 1
-            if at >= 0 and points[at] > least:
-                end = points[at]
-                break
-        else:
-            level, end = "character", most
+    bounds = Boundaries(text, sentences)
+    waiting = bounds.units(0, n, limit)[::-1]
+    out, start, end, level = [], 0, 0, "paragraph"
+    while waiting:
+        a, b, depth = waiting[-1]
+        if b - start <= limit:
+            waiting.pop()
+            end, level = b, LEVELS[max(depth, 1)]
+            continue
+        if end - start < limit / 2 or end <= start + overlap:  # the unit itself is cut: at the coarsest finer separator that fills half, else as late as one fits
+            most, least = start + limit, max(a, start + overlap)
+            finer = [(bounds.last(x, least, most), x) for x in LEVELS[depth + 1 : -1]] if depth + 1 < len(LEVELS) - 1 else []
+            found = [(p, x) for p, x in finer if p is not None and p < b]
+            full = [(p, x) for p, x in found if p - start >= limit / 2]
+            if full or end <= start + overlap:
+                cut, level = full[0] if full else max(found, default=(most, "character"), key=lambda f: f[0])
+                waiting[-1] = (cut, b, depth)
+                end = cut
         out.append((start, end, level))
         start = end - overlap
     out.append((start, n, "end"))
     return out
 
 
-def longest_stretch(text: str, ends: list[int]) -> int:
-    """Length of the longest stretch between consecutive ends, without outer white space."""
-    longest, start = 0, 0
-    for end in [*sorted(ends), len(text)]:
-        longest, start = max(longest, len(text[start:end].strip())), end
-    return longest
-
-
 def cut_level(text: str, sentences: list[int], limit: int) -> str:
-    """The coarsest boundary that is enough by itself."""
-    if all(len(p.strip()) <= limit for p in _BLANK.split(text)):
-        return "paragraph"
-    if longest_stretch(text, sentences) <= limit:
-        return "sentence"
-    return "word" if all(len(w) <= limit for w in _SPACE.split(text)) else "none"
+    """The coarsest boundary that is enough by itself: the depth that separating the text needs."""
+    depth = max(d for _, _, d in Boundaries(text, sentences).units(0, len(text), limit))
+    return "none" if LEVELS[depth] == "character" else LEVELS[max(depth, 1)]
 
 
 _PIECES = T.ArrayType(T.StructType([T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()), T.StructField("cut", T.StringType())]))
@@ -96,7 +126,7 @@ def limits(spark: SparkSession, folder: str, item: str = "sections.text") -> tup
 
 def _oversized(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     """Oversized sections, once each, with the ends of their sentences; only these are shuffled with their text."""
-    bounded_arrow_batches(spark, 64)
+    bounded_arrow_batches(spark)
     sections = table(spark, folder, "sections").select(*_KEY, "text")
     large = sections.where(F.length("text") > limit).dropDuplicates(_KEY)
     ends = sentence_ends(sections, table(spark, folder, "books").select("book_id", "title"), large)
@@ -118,8 +148,6 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections over the limit with the coarsest boundary that is enough; each was split by cut_points, whose pieces must fit."""
-    limit, overlap = limits(spark, folder)
-    cut = _oversized(spark, folder, limit).withColumn("pieces", _pieces(limit, overlap))
-    fits = F.forall("pieces", lambda p: p["end_pos"] - p["start_pos"] <= limit)
-    return cut.where((F.size("pieces") > 1) & fits).select(*_KEY, _level(limit).alias("cut_level"))
+    """Sections over the limit with the depth at which the splitter's recursion ends."""
+    limit, _ = limits(spark, folder)
+    return _oversized(spark, folder, limit).select(*_KEY, _level(limit).alias("cut_level"))

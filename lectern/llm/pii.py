@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.session import bounded_arrow_batches, ensure_checkpoint_dir
+from lectern.session import bounded_arrow_batches, kept, sized_side
 from lectern.sources.tables import table
 
 TYPES = ("name", "email", "phone", "id_number", "address")
 #: Votes per span: shape, cue, title, line, initials, particle, near, against; a gazetteer vote is added from the whole collection.
 VOTES = 9
-#: The first guess of each labeler's rates counts as much as this many spans.
-PRIOR_SPANS = 50
+#: The first guess of each labeler's rates counts as much as this share of the spans.
+PRIOR_SHARE = 0.01
+#: Share of a given name's uses that strong evidence must stand with for the gazetteer to list it.
+STRONG_SHARE = 0.02
 
 # Particles of surnames, words that announce a kind of span, and words that stand before other numbers.
 _PARTS = "van der|van den|van de|van 't|van ’t|van het|van|ten|ter|te|op de|in 't|de la|de las|de los|de|den|der|del|el|al|von der|von|zu|du|des|di|da|le|la|bin|ibn"
@@ -156,17 +158,18 @@ def _propose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def proposed(documents: DataFrame) -> DataFrame:
     """Candidate spans with all votes, kept in the checkpoint folder (spans only, no text).
 
-    The gazetteer's vote: a given name is for if strong evidence (cue, title, own line, initials or particle) stands with at least
-    two of its uses, against if it is mostly an ordinary word written in lower case too.
+    The gazetteer's vote: a given name is for if strong evidence (cue, title or own line) stands with at least STRONG_SHARE
+    of its uses, against if it is mostly an ordinary word written in lower case too.
     """
-    ensure_checkpoint_dir(documents.sparkSession)
     bounded_arrow_batches(documents.sparkSession)
-    spans = documents.where("text is not null and text <> ''").select("doc_id", "text").mapInPandas(_propose, _SPAN).checkpoint()
+    spans = kept(documents.where("text is not null and text <> ''").select("doc_id", "text").mapInPandas(_propose, _SPAN))
     strong = (F.get("votes", F.lit(1)) + F.get("votes", F.lit(2)) + F.get("votes", F.lit(3)) > 0).cast("int")
     known = spans.where("pii_type = 'name' and given <> ''").groupBy("given").agg(F.sum(strong).alias("strong"), F.sum(F.col("lower").cast("int")).alias("low"), F.count(F.lit(1)).alias("uses"))
-    vote = F.when(F.col("low") > 0.2 * F.col("uses"), -1).when(F.col("strong") >= 2, 1).otherwise(0)
+    vote = F.when(F.col("low") > 0.2 * F.col("uses"), -1).when(F.col("strong") >= STRONG_SHARE * F.col("uses"), 1).otherwise(0)
     gazetteer = known.select("given", vote.cast("tinyint").alias("listed"))
-    joined = spans.join(gazetteer, "given", "left")
+    # Only spans with a given name meet the gazetteer: the others would all share one key.
+    named = spans.where("given <> ''").join(sized_side(kept(gazetteer)), "given", "left")
+    joined = named.unionByName(spans.where("given = ''").withColumn("listed", F.lit(None).cast("tinyint")))
     return joined.select("doc_id", "pii_type", "start_pos", "end_pos", F.concat("votes", F.array(F.coalesce("listed", F.lit(0).cast("tinyint")))).alias("votes"))
 
 
@@ -174,7 +177,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int
     """Posterior of each vote pattern by expectation-maximisation over independent labelers with rates of their own.
 
     The rates start where a vote for is more likely on a true span and a vote against on a false one, which fixes what the two
-    hidden classes mean; the first guess stays in as PRIOR_SPANS spans, which keeps rates above zero and small collections steady.
+    hidden classes mean; the first guess stays in as PRIOR_SHARE of all spans, which keeps rates above zero.
     """
     n, k = votes.shape
     seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
@@ -185,7 +188,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int
         score = {c: (seen * np.log(rate[c])[None]).sum(axis=(1, 2)) + np.log(share if c else 1 - share) for c in (True, False)}
         posterior = 1 / (1 + np.exp(np.clip(score[False] - score[True], -50, 50)))
         for c, weight in ((True, posterior * counts), (False, (1 - posterior) * counts)):
-            total = (seen * weight[:, None, None]).sum(axis=0) + start[c] * PRIOR_SPANS
+            total = (seen * weight[:, None, None]).sum(axis=0) + start[c] * PRIOR_SHARE * counts.sum()
             rate[c] = total / total.sum(axis=1, keepdims=True)
         share = float(np.clip((posterior * counts).sum() / counts.sum(), 0.02, 0.98))
     return posterior

@@ -52,7 +52,39 @@ def one_form(text: str) -> str:
     return LOOKALIKE_WORD.sub(lambda m: m.group().translate(_LOOKS), text)
 
 
+_NO_INVISIBLE = dict.fromkeys(map(ord, INVISIBLE))
+_TO_SPACE = {ord(c): " " for c in SPACES}
+_SPELT = {ord(k): v for k, v in COMPAT.items()}
+_HAS = {"invisible": re.compile(f"[{re.escape(INVISIBLE)}]").search, "space": re.compile(f"[{re.escape(SPACES)}]").search, "compat": re.compile(f"[{re.escape(''.join(COMPAT))}]").search}
+_LETTER_MARKS = re.compile(f"[^\\W\\d_][{MARKS}]+")
+
+
+def _composed(text: str) -> str:
+    """Letters with a mark that exist as one letter, as that letter."""
+    return _LETTER_MARKS.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
+
+
+def skeleton_steps(text: str) -> list[tuple[str, str]]:
+    """(kind of what a step replaces, text after the step): from the text to its skeleton.
+
+    Characters without width go, spaces become one kind, joined and full-width forms are spelt out, marks join their letters, and
+    look-alikes in words of Latin letters get their prototypes; the last step gives every character of the table its prototype
+    and decomposes. A step that finds nothing leaves the text as it is. Decomposition is canonical: superscripts stay.
+    """
+    out = []
+    for kind, table in (("invisible", _NO_INVISIBLE), ("space", _TO_SPACE), ("compat", _SPELT)):
+        if _HAS[kind](text):
+            text = text.translate(table)
+        out.append((kind, text))
+    text = _composed(text)
+    out.append(("combining", text))
+    text = LOOKALIKE_WORD.sub(lambda m: m.group().translate(_LOOKS), text)
+    out.append(("lookalike", text))
+    text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_LOOKS))
+    out.append(("prototype", text))
+    return out
+
+
 def skeleton(text: str) -> str:
     """The confusables skeleton: decompose, prototype for every character of the look-alike table, decompose again."""
-    text = unicodedata.normalize("NFKD", one_form(text)).translate(_LOOKS)
-    return unicodedata.normalize("NFKD", text)
+    return text if text.isascii() else skeleton_steps(text)[-1][1]
