@@ -19,14 +19,22 @@ PAGE_WORDS = ["blz", "bladzijde", "pagina", "p", "page", "pag", "s", "seite"]
 OF_WORDS = ["van", "of", "von", "de", "sur"]
 
 
-def _folding() -> dict[int, str | None]:
-    out: dict[int, str | None] = {}
+class _Same(dict):
+    """A translation table that keeps what it doesn't list (and remembers that, as a failed look-up is slow)."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+def _folding() -> _Same:
+    out = _Same()
     for code in range(0xC0, 0x250):
         base = unicodedata.normalize("NFD", chr(code))
         if len(base) > 1:
             out[code] = base[0]
-    out |= {ord(k): v for k, v in (PROTOTYPES | COMPAT).items()}
-    out |= {ord(c): " " for c in SPACES} | dict.fromkeys(map(ord, INVISIBLE)) | dict.fromkeys(range(0x300, 0x370))
+    out.update({ord(k): v for k, v in (PROTOTYPES | COMPAT).items()})
+    out.update({ord(c): " " for c in SPACES} | dict.fromkeys(map(ord, INVISIBLE)) | dict.fromkeys(range(0x300, 0x370)))
     return out
 
 
@@ -55,12 +63,26 @@ def glyphs(folded: Column) -> Column:
     return out
 
 
-_NOT_AZ = re.compile("[^a-z]+")
+class _Letters(dict):
+    """Skeleton letters of folded characters; what has none goes."""
+
+    def __missing__(self, code: int) -> str | None:
+        out = "".join(c for c in _GLYPHS.get(code, chr(code)) if "a" <= c <= "z") or None
+        self[code] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def letters_of(folded: str) -> str:
+    """The letters a-z of the skeleton."""
+    return folded.replace("\\/", "v").translate(_LETTERS)
 
 
 def title_key(title: str | None) -> str:
     """Letters of the title's skeleton."""
-    return _NOT_AZ.sub("", glyphs_of(fold(title))) if isinstance(title, str) else ""
+    return letters_of(fold(title)) if isinstance(title, str) else ""
 
 
 _DIGIT = "[0-9oil|!sgb]"
@@ -71,22 +93,65 @@ _PAGE = re.compile(f"[\\[({{~–—-]*\\s*(?:(?:{'|'.join(PAGE_WORDS)})\\b\\.?\\
 PAGE_DIGITS = 5
 _TO_DIGIT = str.maketrans("oil|!sgb", "01111596")
 _ROW = re.compile("[^|]*\\w \\| \\w[^\n]*")
-_LABEL_KEYS = ["", *(_NOT_AZ.sub("", glyphs_of(w)) for w in [*CHAPTER_WORDS, "ch"])]
+_LABEL_KEYS = ["", *map(letters_of, [*CHAPTER_WORDS, "ch"])]
 #: Key of a line that holds nothing but a chapter's label.
 LABEL_ONLY = "#label"
+_BARE_LABELS = {LABEL_ONLY}
+_LABEL_STARTS = ["ch", "cb", *CHAPTER_WORDS]
+_ANY_DIGIT = re.compile("[0-9]")
 
 
 def masked_keys(folded: str) -> set[str]:
     """Keys under which printed lines that differ in their numbers only are the same: letters of the skeleton with digits masked,
     with and without chapter label and number. A line without letters has none."""
-    bare = _LABEL.sub(" ", folded)
-    without = _NUMBER.sub(" ", bare)
-    out = {_NOT_AZ.sub("", glyphs_of(form)) for form in {without, bare, folded}} - {""}
+    bare = _LABEL.sub(" ", folded) if any(w in folded for w in _LABEL_STARTS) else folded
+    without = _NUMBER.sub(" ", bare) if _ANY_DIGIT.search(bare) else bare
+    out = {letters_of(form) for form in {without, bare, folded}} - {""}
     if bare != folded and not any(c.isalpha() for c in without):
         out.add(LABEL_ONLY)
     return out
 
 
+class _Gone(dict):
+    """A translation table that drops what it doesn't list."""
+
+    def __missing__(self, code: int) -> None:
+        self[code] = None
+
+
+def _rough_table() -> dict[int, str | None]:
+    """Each character's skeleton where it is one letter that no wide letter is spelt with; the others go."""
+    spelt = {c for wide, letters in SPELT_GLYPH.items() for c in wide + letters}
+    table = _Gone()
+    for code in range(128):
+        letter = letters_of(chr(code))
+        table[code] = letter if len(letter) == 1 and letter not in spelt and chr(code) not in spelt else None
+    return table
+
+
+_ROUGH = _rough_table()
+
+
+def rough(folded: str) -> str:
+    """A part of the skeleton's letters that is cheap to make: texts of equal skeleton have it in common."""
+    return folded.replace("\\/", "v").translate(_ROUGH)
+
+
+class Headers:
+    """The masked keys of a book's running headers, with a cheap test of whether a line can have one."""
+
+    def __init__(self, keys: set[str], title: str | None) -> None:
+        self.keys = keys
+        self.rough = rough(fold(title)) if isinstance(title, str) else ""
+        self.titled = any(k not in _BARE_LABELS for k in keys)
+
+    def of(self, folded: str) -> set[str]:
+        """The keys that the line has."""
+        if self.titled and self.rough in rough(folded) or any(w in folded for w in _LABEL_STARTS) and _LABEL.search(folded):
+            return masked_keys(folded) & self.keys
+        return set()
+
+
 def header_keys(title: str | None) -> set[str]:
     """Keys of the headers that a book of this title can have."""
     key = title_key(title)
@@ -105,16 +170,16 @@ def page_number(folded: str) -> int | None:
 BLANK, BODY, TABLE, HEADER, PAGE = "blank", "body", "table", "header", "page_number"
 
 
-def classify(lines: list[str], headers: set[str], lo: int | None = None, hi: int | None = None) -> list[str]:
-    """The kind of every line; headers are the masked keys of the book's running headers. A bare number is a page number if it fits the section's pages, and in a table only beside a header."""
-    folded = [fold(x).strip() for x in lines]
-    kinds = [BLANK if not f else HEADER if not headers.isdisjoint(masked_keys(f)) else BODY for f in folded]
+def classify(lines: list[str], folded: list[str], headers: Headers, lo: int | None = None, hi: int | None = None) -> list[str]:
+    """The kind of every line; folded are the same lines folded, headers those of the book. A bare number is a page number if it fits the section's pages, and in a table only beside a header."""
+    folded = [x.strip() for x in folded]
+    kinds = [BLANK if not f else HEADER if headers.of(f) else BODY for f in folded]
     start, n = 0, len(lines)
     while start < n:
         stop = start
         while stop < n and kinds[stop] != BLANK:
             stop += 1
-        if any(lines[i].strip() == "[tabel]" or _ROW.fullmatch(lines[i]) for i in range(start, stop)):
+        if any(folded[i] == "[tabel]" or " | " in lines[i] and _ROW.fullmatch(lines[i]) for i in range(start, stop)):
             for i in range(start, stop):
                 kinds[i] = TABLE if kinds[i] == BODY else kinds[i]
         start = stop + 1
@@ -126,3 +191,8 @@ def classify(lines: list[str], headers: set[str], lo: int | None = None, hi: int
             if not bare or fits and (beside or kinds[i] == BODY):
                 kinds[i] = PAGE
     return kinds
+
+
+def headers_of(title: str | None) -> Headers:
+    """All headers that a book of this title can have."""
+    return Headers(header_keys(title), title)

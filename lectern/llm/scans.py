@@ -52,13 +52,14 @@ _LINE = T.StructType(
 )
 
 
-def parse(text: str, headers: set[str], lo: int | None, hi: int | None) -> list[tuple]:
+def parse(text: str, headers: L.Headers, lo: int | None, hi: int | None) -> list[tuple]:
     """Rows of _LINE. words: folded whole words of a body line; a, b, next_no: the two parts of the word broken at its end and the line of the second."""
     lines = text.split("\n")
-    kinds = L.classify(lines, headers, lo, hi)
+    folded = list(map(L.fold, lines))
+    kinds = L.classify(lines, folded, headers, lo, hi)
     out, body = [], None
     for i, (line, kind) in enumerate(zip(lines, kinds)):
-        words = [w for w in (_EDGES.sub("", t) for t in L.fold(line).split()) if w] if kind == L.BODY else []
+        words = [w for w in (t if t.isalnum() else _EDGES.sub("", t) for t in folded[i].split()) if w] if kind == L.BODY else []
         row = [i, line, kind, words, None, None, None]
         out.append(row)
         if kind == L.BODY:
@@ -70,46 +71,35 @@ def parse(text: str, headers: set[str], lo: int | None, hi: int | None) -> list[
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _line_keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import xxhash
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _line_keys(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, titles in parts:
+        yield pd.Series([[k for line in text.split("\n") for k in (h.of(L.fold(line).strip()))] for text, h in zip(texts, map(L.headers_of, titles))])
 
-    for texts in parts:
-        yield texts.map(lambda t: [xxhash.xxh64_intdigest(k) - 2**63 for line in t.split("\n") for k in L.masked_keys(L.fold(line).strip())])
 
+def running_headers(titled: DataFrame) -> DataFrame:
+    """titled(book_id, text, title) -> (book_id, headers): masked keys of each book's running headers.
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("key", T.StringType())])))
-def _possible(titles: pd.Series) -> pd.Series:
-    import xxhash
-
-    return titles.map(lambda t: [(xxhash.xxh64_intdigest(k) - 2**63, k) for k in sorted(L.header_keys(t))])
-
-
-def running_headers(texts: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, headers): masked keys of each book's running headers.
-
-    The book's lines are grouped by masked key (its hash is counted before the shuffle); a group with the key of the title or of a
-    chapter label, itself one more member, is a header's.
+    The book's lines are grouped by masked key; a group with the key of the title or of a chapter label, itself one more member,
+    is a header's. Lines that can't have such a key are left out before they are counted, so next to nothing is shuffled.
     """
-    groups = texts.select("book_id", F.explode(_line_keys("text")).alias("k")).groupBy("book_id", "k").agg(F.count(F.lit(1)).alias("lines"))
-    titled = texts.select("book_id").distinct().join(merged(books.groupBy("book_id").agg(F.max("title").alias("title"))), "book_id", "left")
-    known = titled.select("book_id", F.explode(_possible("title")).alias("x")).select("book_id", "x.k", "x.key")
-    return groups.join(merged(known), ["book_id", "k"]).groupBy("book_id").agg(F.collect_set("key").alias("headers"))
+    groups = titled.select("book_id", F.explode(_line_keys("text", "title")).alias("key")).groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("lines"))
+    return groups.groupBy("book_id").agg(F.collect_set("key").alias("headers"))
 
 
 def _parsed(with_text: bool):
     @F.pandas_udf(T.ArrayType(_LINE))
-    def parsed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, headers, lows, highs in parts:
+    def parsed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, titles, headers, lows, highs in parts:
             out = []
-            for text, keys, lo, hi in zip(texts, headers, lows, highs):
-                rows = parse(text, set() if keys is None else set(keys), None if pd.isna(lo) else int(lo), None if pd.isna(hi) else int(hi))
+            for text, title, keys, lo, hi in zip(texts, titles, headers, lows, highs):
+                rows = parse(text, L.Headers(set() if keys is None else set(keys), title), None if pd.isna(lo) else int(lo), None if pd.isna(hi) else int(hi))
                 if not with_text:
                     rows = [(r[0], None, *r[2:]) for r in rows if r[2] != L.BLANK and r[2] != L.TABLE]
                 out.append(rows)
             yield pd.Series(out)
 
-    return parsed("text", "headers", "page_lo", "page_hi")
+    return parsed("text", "title", "headers", "page_lo", "page_hi")
 
 
 def section_lines(sections: DataFrame, books: DataFrame, with_text: bool = False) -> DataFrame:
@@ -119,8 +109,9 @@ def section_lines(sections: DataFrame, books: DataFrame, with_text: bool = False
     """
     bounded_arrow_batches(sections.sparkSession)
     once = sections.where("text is not null").select(*_KEY, "text", "page_lo", "page_hi").dropDuplicates(_KEY)
-    headers = sized_side(kept(running_headers(sections.where("text is not null").select("book_id", "text"), books)))
-    each = once.join(headers, "book_id", "left").select(*_KEY, F.explode(_parsed(with_text)).alias("x"))
+    titles = sized_side(kept(books.groupBy("book_id").agg(F.max("title").alias("title"))))
+    headers = sized_side(kept(running_headers(sections.where("text is not null").select("book_id", "text").join(titles, "book_id", "left"))))
+    each = once.join(titles, "book_id", "left").join(headers, "book_id", "left").select(*_KEY, F.explode(_parsed(with_text)).alias("x"))
     return kept(each.select(*_KEY, "x.*"))
 
 

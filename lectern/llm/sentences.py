@@ -10,6 +10,7 @@ and page numbers are skipped and a paragraph goes on across them; a table block
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -34,6 +35,7 @@ _SITE = re.compile(f"[。！？]+[…。！？]*[\"'”’»)\\]】」』）》
 _SPACE_IN_THAI = re.compile(f"(?<=[{_THAI}\"0-9])[^\\S\\n]+(?=[{_THAI}\"0-9])")
 _PARA = re.compile("\\n[^\\S\\n]*\\n\\s*")
 _TOKEN = re.compile("\\S+")
+_INITIAL = re.compile("[^\\w]*[A-Z]")
 _NUM = re.compile("\\d+(?:[.,]\\d+)*")
 _LEFT_TRIM, _RIGHT_TRIM = re.compile(f"^[{OPENERS}{CLOSERS}]+"), re.compile(f"[{CLOSERS},;:!?…]+$")
 _THAI_ANY, _WIDE_ANY = re.compile(f"[{_THAI}]"), re.compile("[぀-ヿ㐀-鿿]")
@@ -54,7 +56,7 @@ def _blanked(text: str, title: str | None) -> str:
     lines = text.split("\n")
     if len(lines) < 2:
         return text
-    kinds = L.classify(lines, L.header_keys(title))
+    kinds = L.classify(lines, list(map(L.fold, lines)), L.headers_of(title))
     if L.HEADER not in kinds and L.PAGE not in kinds:
         return text
     n, out, joint = len(lines), list(lines), [False] * len(lines)
@@ -124,7 +126,9 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
         found = [(m.start(), m.end(), m.group()) for m in _SITE.finditer(para)]
         if _THAI_ANY.search(para):
             found = sorted(found + [(m.start(), m.start(), " ") for m in _SPACE_IN_THAI.finditer(para)])
-        _count_words(para, stats)
+        tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(para)]
+        heads = [h for h, _ in tokens]
+        _count_words(tokens, stats)
         before = lead
         for start, stop, mark in found:
             if stop >= len(para):
@@ -135,12 +139,13 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
             if not spaced and not wide:
                 continue
             kind, token, short = _right(para, stop)
-            chunk = para[max(0, start - 40) : start].split()
-            left = _norm(_LEFT_TRIM.sub("", _RIGHT_TRIM.sub("", chunk[-1] if chunk else "")).lower())
+            at = bisect.bisect_left(heads, start)
+            token_left = para[heads[at - 1] : start].rstrip() if at else ""
+            left = _norm(_LEFT_TRIM.sub("", _RIGHT_TRIM.sub("", token_left)).lower())
             closed = any(c in "\"”’“»」』" for c in mark[1:])
-            if kind == "#" and mark == "." and chunk and chunk[-1].startswith("(") and ")" not in chunk[-1]:
+            if kind == "#" and mark == "." and token_left.startswith("(") and ")" not in token_left:
                 continue  # a number inside a bracket, as in (no. 13)
-            if chunk and re.fullmatch("[^\\w]*[A-Z]", chunk[-1]):
+            if _INITIAL.fullmatch(token_left):
                 left = INITIAL
             odds = _certain(mark, kind, closed, wide, left, stats, token)
             if odds is None:
@@ -149,13 +154,14 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
                 stats["start", token] += 1
             elif odds == 0:
                 stats["open", token] += 1
-            words = len(para[before:start].split())
+            first = bisect.bisect_left(heads, before)
+            words = at - first + (before < start and (first >= len(heads) or heads[first] != before) and not para[before].isspace())
             places.append((no, a + stop, words, left, token, short, ("W" if wide or kind in "Co" else "A") + kind + ("." if mark[0] == "." and not closed else mark[0]), odds))
             before = stop
-        last = para.split()[-1]
+        last = tokens[-1][1]
         if last.endswith(".") and not last.endswith(".."):
             stats["end", _norm(_LEFT_TRIM.sub("", last.rstrip(".")).lower())] += 1
-        places.append((no, end, max(2, len(para[before:].split())), "", "", "", "E", CERTAIN))
+        places.append((no, end, max(2, len(tokens) - bisect.bisect_left(heads, before)), "", "", "", "E", CERTAIN))
     return places
 
 
@@ -186,14 +192,14 @@ def _certain(mark: str, kind: str, closed: bool, wide: bool, left: str, stats: C
     return CERTAIN
 
 
-def _count_words(para: str, stats: Counter) -> None:
-    """Short plain words, and capitalised words after a word without any mark."""
+def _count_words(tokens: list[tuple[int, str]], stats: Counter) -> None:
+    """Plain words, and capitalised words after a word without any mark."""
     previous = ""
-    for token in para.split():
+    for _, token in tokens:
         last = previous[-1:]
         first = token[0]
         if first.isalpha():
-            if token[-1].isalpha() and len(token) <= 14 and first.islower():
+            if token[-1].isalpha() and first.islower():
                 stats["plain", token] += 1
             elif first.isupper() and (last.isalnum() or last == ","):
                 stats["mid", token.rstrip(".,;:!?")] += 1
