@@ -12,7 +12,7 @@ BEFORE, AFTER = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 DUTCH_WORDS = ["de", "het", "een", "en", "van", "is", "dat", "niet", "zijn", "op", "voor", "met", "ook", "wordt"]
 ENGLISH_WORDS = ["the", "and", "of", "is", "that", "not", "are", "on", "for", "with", "also", "this"]
 # Characters that count as mathematics.
-MATH_CHARS = "=+−×÷±√∑∫∂∞≈≠≤≥<>^αβγδεζηθλμπρσφχψωΔΣΩ∈∀∃→↔∝"
+MATH_CHARS = "=+−*/^_∑∫√≈≤≥±∂∇∆∏αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ∞|"
 
 
 def squash(text: Column) -> Column:

@@ -1,7 +1,8 @@
-"""Order-dependent operators: one ordered pass over the rows of a chapter, episode or section, in parallel over those units.
+"""Order-dependent operators, in parallel over episodes or chapters.
 
-Each unit (an episode's turns, a chapter's paragraphs) is what one recording or one reading holds, a few thousand rows at most; a
-book, however large, is spread over its units. Folds that need only running state per row read a unit batch by batch.
+Where an order-dependent result is a sum of steps between neighbours (the timeline), it is a window; where each place determines
+its successor (blocks), successors are found for all places at once and then followed; only recurrences with rounding in every
+step and greedy comparisons run row by row, one group of an episode or chapter loaded at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators.matching import indel_ratio
-from lectern.operators.script import EPISODE
+from lectern.operators.script import EPISODE, turn_numbers
 
 # How much a stage tag lifts the voice, and the share of mood that is carried on.
 TAG_LIFT = {"excited": 0.20, "laughs": 0.25, "laughing": 0.25, "deadpan": -0.20, "skeptical": -0.10, "thinking": -0.10, "sighs": -0.05, "serious": -0.10, "warm": 0.05, "annoyed": 0.10, "surprised": 0.20, "whisper": -0.25, "fast": 0.10, "slow": -0.10, "question": 0.05}
 CARRY, CROSS_CARRY, LEAST_LIFT, MOST_LIFT = 0.6, 0.2, 0.15, 0.95
-GAP, SEGMENT_GAP, QUICK_GAP, QUICK_WORDS, INTERRUPT_LEAD, BACKCHANNEL_POINT = (0.18, 0.42), (0.6, 0.9), (-0.06, 0.09), 6, 0.25, 0.6
+# Gaps between turns in seconds, and how overlaps are placed, lowered and faded.
+GAP, SEGMENT_GAP, QUICK_GAP, FRAGMENT = (0.18, 0.42), (0.6, 0.9), (-0.06, 0.09), (0.4, 0.6)
+QUICK_WORDS, INTERRUPT_LEAD, BACKCHANNEL_POINT, LAUGH_POINT, CUT_SHARE = 6, 0.25, 0.6, 0.5, 0.85
+INTERRUPT_DUCK_DB, QUICK_DUCK_DB, FRAGMENT_FADE, UNWRITTEN_SLACK = 12.0, 4.0, 0.12, 0.45
 BLOCK_CHARS, SEGMENT_FILL, TURN_FILL = 3000, 0.4, 0.5
 REPEAT_CHARS, REPEAT_RATIO, REPEAT_LENGTH, GRAM_BUCKETS = 60, 88.0, 0.3, 256
 
@@ -51,103 +55,153 @@ def emotion_carry(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     return rows.groupBy(*EPISODE).applyInPandas(fold, "book_id string, episode_id string, revision int, line_id string, exaggeration double")
 
 
+def block_starts(sizes: np.ndarray, new_segment: np.ndarray, new_speaker: np.ndarray, most: int) -> list[int]:
+    """First lines of the blocks of one episode.
+
+    Where a block begins determines where the next begins: at the first change of segment that stands behind SEGMENT_FILL of the
+    limit, if one comes no later than the first line that is too much; else at the last change of speaker before that line, if
+    TURN_FILL stands before it; else at that line. All three are searches in the cumulative sizes and the places of changes.
+    """
+    n = len(sizes)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    segments, speakers = np.flatnonzero(new_segment), np.flatnonzero(new_speaker)
+    first = np.arange(n)
+    over = np.maximum(np.searchsorted(upto, upto[:-1] + most, side="right") - 1, first + 1)  # the line that is too much; n if none is
+    filled = np.maximum(np.searchsorted(upto, upto[:-1] + SEGMENT_FILL * most, side="left"), first + 1)
+    at = np.searchsorted(segments, filled)
+    by_segment = np.append(segments, n)[at]
+    at = np.searchsorted(speakers, over, side="left") - 1
+    by_speaker = np.where(at >= 0, np.append(speakers, -1)[at], -1)
+    half = (by_speaker > first) & (upto[np.maximum(by_speaker, 0)] - upto[:-1] >= TURN_FILL * most)
+    after = np.where(by_segment <= np.minimum(over, n - 1), by_segment, np.where(half & (over < n), by_speaker, over))
+    starts = []
+    i = 0
+    while i < n:
+        starts.append(i)
+        i = int(after[i])
+    return starts
+
+
 def script_blocks(lines: DataFrame, most: int = BLOCK_CHARS) -> DataFrame:
-    """Lines in blocks of at most ``most`` characters. A block ends at a segment once it is filled to 40 %, else before the line that
-    would overfill it: at the last change of speaker if half of the block stands before it, else right there. A longer line is a block of its own."""
+    """Lines in blocks of at most ``most`` characters, see block_starts; a longer line is a block of its own."""
+    w = Window.partitionBy(*EPISODE).orderBy("pos", "line_id")
+    changed = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    rows = lines.select(*EPISODE, "pos", "line_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), changed("seg_no").alias("new_segment"), changed("speaker").alias("new_speaker"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def number(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["pos", "line_id"])
-        sizes, block, blocks = part["n"].tolist(), [], []
-        seam, speaker, segment = 0, None, None
-
-        def size(rows: list[int]) -> int:
-            return sum(sizes[i] for i in rows)
-
-        for i, (who, seg) in enumerate(zip(part["speaker"], part["seg_no"])):
-            if block and seg != segment and size(block) >= SEGMENT_FILL * most:
-                blocks.append(block)
-                block, seam = [], 0
-            if block and size(block) + sizes[i] > most:
-                at = seam if seam > 0 and size(block[:seam]) >= TURN_FILL * most else len(block)
-                blocks.append(block[:at])
-                block, seam = block[at:], 0
-                if block and size(block) + sizes[i] > most:
-                    blocks.append(block)
-                    block = []
-            if who != speaker:
-                seam = len(block)
-            block.append(i)
-            speaker, segment = who, seg
-        if block:
-            blocks.append(block)
-        number = [0] * len(sizes)
-        for k, rows in enumerate(blocks, 1):
-            for i in rows:
-                number[i] = k
-        return part.assign(block_no=number)[[*EPISODE, "line_id", "block_no"]]
-
-    rows = lines.select(*EPISODE, "pos", "line_id", "speaker", "seg_no", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    return rows.groupBy(*EPISODE).applyInPandas(fold, "book_id string, episode_id string, revision int, line_id string, block_no int")
+        starts = block_starts(part["n"].to_numpy(np.int64), part["new_segment"].to_numpy(bool), part["new_speaker"].to_numpy(bool), most)
+        blocks = np.zeros(len(part), dtype=np.int32)
+        blocks[starts] = 1
+        return part.assign(block_no=np.cumsum(blocks))[[*EPISODE, "line_id", "block_no"]]
 
+    return rows.groupBy(*EPISODE).applyInPandas(number, "book_id string, episode_id string, revision int, line_id string, block_no int")
 
-def timeline(turns: DataFrame) -> DataFrame:
-    """turns(episode, turn_no, speaker, seg_no, text, mode, pause_s, duration_s) -> start, end, kind of transition and where the turn before is cut.
 
-    Gaps come from a hash of episode and turn, within the range of the transition. An interruption starts before the end of the turn
-    before and cuts it; a backchannel lies inside it and moves nothing; a question or a short line is answered quickly.
+def _advancing(turns: DataFrame) -> DataFrame:
+    """turns with target_no (the turn their overlap names), lies_inside (an accepted backchannel) and last_no (the last turn before that moves on).
+
+    A backchannel is accepted if its target is the last turn before it that moves on. A stretch of backchannels on one turn right
+    after that turn is linked to it; linked stretches that follow one another alternate, since an accepted backchannel can't be a target.
     """
+    w = Window.partitionBy(*EPISODE).orderBy("turn_no")
+    owner = turns.select(*EPISODE, F.explode("line_ids").alias("target"), F.col("turn_no").alias("target_no"), F.col("speaker").alias("target_speaker"))
+    named = turns.join(owner, [*EPISODE, "target"], "left").withColumn("meets", F.coalesce((F.col("target_no") < F.col("turn_no")) & (F.col("target_speaker") != F.col("speaker")), F.lit(False)))
+    asks = named.withColumn("asks", (F.col("mode") == "backchannel") & F.col("meets"))
+    same = F.col("asks") & F.coalesce(F.lag("asks").over(w), F.lit(False)) & F.col("target_no").eqNullSafe(F.lag("target_no").over(w))
+    islands = asks.withColumn("before_no", F.lag("turn_no").over(w)).withColumn("island", F.sum((~same).cast("int")).over(w))
+    first = Window.partitionBy(*EPISODE, "island").orderBy("turn_no")
+    linked = F.col("asks") & F.col("target_no").eqNullSafe(F.first("before_no").over(first))
+    chain = islands.withColumn("linked", linked).withColumn("base", F.last(F.when(~F.col("linked"), F.col("island")), ignorenulls=True).over(w))
+    inside = F.col("linked") & ((F.col("island") - F.col("base")) % 2 == 1)
+    out = chain.withColumn("lies_inside", F.coalesce(inside, F.lit(False)))
+    return out.withColumn("last_no", F.last(F.when(~F.col("lies_inside"), F.col("turn_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("asks", "before_no", "island", "linked", "base", "target_speaker")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("turn_no")
-        cursor, pending, last, current = 0.0, 0.0, None, None
-        out: list[list] = []
-        for i, t in enumerate(part.itertuples()):
-            fits = current is not None and current[1].speaker != t.speaker
-            if t.mode == "interrupt" and fits:
-                onset = current[0] + 0.85 * current[1].duration_s
-                start = max(current[0] + 0.1, onset - INTERRUPT_LEAD)
-                out[current[2]][3] = round(min(current[0] + current[1].duration_s, onset + 0.4 + 0.2 * t.draw), 3)
-                kind = "interrupt"
-            elif t.mode == "backchannel" and fits:
-                start = current[0] + BACKCHANNEL_POINT * current[1].duration_s
-                out.append([round(start, 3), round(start + t.duration_s, 3), "backchannel", None])
-                current = last or current
-                continue
-            else:
-                if last is None:
-                    gap, kind = 0.0, "first"
-                elif last[1].seg_no != t.seg_no:
-                    gap, kind = SEGMENT_GAP[0] + t.draw * (SEGMENT_GAP[1] - SEGMENT_GAP[0]), "segment"
-                elif pending == 0 and last[1].speaker != t.speaker and last[1].quick:
-                    gap, kind = QUICK_GAP[0] + t.draw * (QUICK_GAP[1] - QUICK_GAP[0]), "quick"
-                else:
-                    gap, kind = GAP[0] + t.draw * (GAP[1] - GAP[0]), "plain"
-                start = cursor + gap + pending
-            out.append([round(start, 3), round(start + t.duration_s, 3), kind, None])
-            cursor, pending = start + t.duration_s, t.pause_s
-            last = current = (start, t, i)
-        placed = pd.DataFrame(out, columns=["start_s", "end_s", "transition", "cut_s"], index=part.index)
-        return pd.concat([part[[*EPISODE, "turn_no"]], placed], axis=1)
 
-    text = F.trim("text")
-    quick = F.coalesce(text.endswith("?") | ((text != "") & (X.word_count(text) <= QUICK_WORDS)), F.lit(False))
-    draw = X.seeded_fraction(F.col("book_id"), F.col("episode_id"), F.col("revision").cast("string"), F.col("turn_no").cast("string"))
-    rows = turns.select(*EPISODE, "turn_no", "speaker", "seg_no", "mode", "pause_s", "duration_s", quick.alias("quick"), draw.alias("draw"))
-    return rows.groupBy(*EPISODE).applyInPandas(fold, "book_id string, episode_id string, revision int, turn_no long, start_s double, end_s double, transition string, cut_s double")
+def timeline(turns: DataFrame) -> DataFrame:
+    """turns(episode, turn_no, speaker, seg_no, mode, target, cut_word, line_ids, tags, reaction, text, pause_s, duration_s, timing_gap_s, words) -> placements.
 
+    words: array<struct<word, start_s>> with times from the turn's start; timing_gap_s: what a timing label asks for, or null. Of a
+    placement: start_s, end_s (of the sound, or where it is faded out), transition, duck_s and duck_db (from where and how far
+    the turn is lowered), cut_s, deliberate_s (written silence after it), ignored (an overlap whose target isn't the turn before).
 
-def line_turns(lines: DataFrame) -> DataFrame:
-    """Every line as a turn with the length that its text takes."""
-    return lines.select(*EPISODE, F.col("pos").cast("long").alias("turn_no"), "speaker", "seg_no", "text", "mode", (F.col("pause_after_ms") / 1000).alias("pause_s"), F.greatest(F.lit(0.3), F.coalesce(F.length("text"), F.lit(0)) / 15.0).alias("duration_s"))
+    The start of a turn that moves on is that of the last such turn plus a step that these two determine, so starts are a running
+    sum. An interruption comes before the onset of the word it cuts and cuts it; a backchannel lies inside the turn before, from
+    the next word after 60 % of it (a laugh: half); a question or a short line is answered quickly; a timing label sets the
+    gap itself. Gaps come from a hash of episode and turn within the range of the transition.
+    """
+    w = Window.partitionBy(*EPISODE).orderBy("turn_no")
+    text = F.trim("text")
+    draw = X.seeded_fraction(F.col("book_id"), F.col("episode_id"), F.col("revision").cast("string"), F.col("turn_no").cast("string"))
+    quick = F.coalesce(text.endswith("?") | ((text != "") & (X.word_count(text) <= QUICK_WORDS)), F.lit(False))
+    laugh = F.coalesce(F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("laughs"), F.lit("laughing"))), F.lit(False)) | F.coalesce(F.col("reaction").isin("laugh", "chuckle"), F.lit(False))
+    t = _advancing(turns).withColumn("draw", draw).withColumn("quick", quick).withColumn("laugh", laugh).withColumn("words", F.coalesce("words", F.array().cast("array<struct<word:string,start_s:double>>")))
+    carried = ["turn_no", "speaker", "seg_no", "pause_s", "duration_s", "quick", "words"]
+    moving = F.when(~F.col("lies_inside"), F.struct(*carried))
+    t = t.withColumn("last", F.last(moving, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    last = lambda c: F.col(f"last.{c}")
+    cuts = (F.col("mode") == "interrupt") & F.col("meets") & F.col("target_no").eqNullSafe(F.col("last_no"))
+    norm = lambda c: F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}_]", "")
+    cut_word = F.filter("last.words", lambda x: (norm(x["word"]) == norm(F.col("cut_word"))) & (norm(F.col("cut_word")) != ""))
+    onset = F.coalesce(F.try_element_at(cut_word, F.lit(-1))["start_s"], F.try_element_at(last("words"), F.lit(-1))["start_s"], CUT_SHARE * last("duration_s"))
+    point = F.when(F.col("laugh"), LAUGH_POINT).otherwise(BACKCHANNEL_POINT) * last("duration_s")
+    inside = F.coalesce(F.array_min(F.transform(F.filter("last.words", lambda x: x["start_s"] >= point), lambda x: x["start_s"])), point)
+    between = lambda bounds: F.lit(bounds[0]) + F.col("draw") * (bounds[1] - bounds[0])
+    other_segment = ~F.col("seg_no").eqNullSafe(last("seg_no"))
+    quickly = last("quick") & (last("pause_s") == 0) & (last("speaker") != F.col("speaker"))
+    kind = F.when(F.col("last").isNull(), "first").when(F.col("lies_inside"), "backchannel").when(cuts, "interrupt").when(other_segment, "segment").when(F.col("timing_gap_s").isNotNull(), "timed").when(quickly, "quick").otherwise("plain")
+    t = t.withColumn("transition", kind).withColumn("onset", onset)
+    gap = F.when(F.col("transition") == "segment", between(SEGMENT_GAP)).when(F.col("transition") == "timed", F.col("timing_gap_s")).when(F.col("transition") == "quick", between(QUICK_GAP)).otherwise(between(GAP))
+    t = t.withColumn("gap", gap)
+    step = F.when(F.col("last").isNull(), 0.0).when(F.col("transition") == "interrupt", F.greatest(F.lit(0.1), F.col("onset") - INTERRUPT_LEAD)).otherwise(last("duration_s") + last("pause_s") + F.col("gap"))
+    t = t.withColumn("moved", F.sum(F.when(F.col("lies_inside"), 0.0).otherwise(step)).over(w))
+    t = t.withColumn("start", F.col("moved") + F.when(F.col("lies_inside"), inside).otherwise(0.0))
+    # What the next turn that moves on does to this one.
+    ahead = Window.partitionBy(*EPISODE, "lies_inside").orderBy("turn_no")
+    following = F.lead(F.struct("transition", "start", "onset", "gap", "draw")).over(ahead)
+    t = t.withColumn("next", F.when(~F.col("lies_inside"), following))
+    cut = F.when(F.col("next.transition") == "interrupt", F.least(F.col("start") + F.col("duration_s"), F.col("start") + F.col("next.onset") + FRAGMENT[0] + F.col("next.draw") * (FRAGMENT[1] - FRAGMENT[0])))
+    early = F.col("next.transition").isin("quick", "timed") & (F.col("next.gap") < 0)
+    duck_db = F.when(F.col("next.transition") == "interrupt", INTERRUPT_DUCK_DB).when(early & (F.col("next.gap") + F.col("pause_s") < 0), QUICK_DUCK_DB)
+    written = F.when(F.col("next.transition") == "interrupt", 0.0).when(F.col("next.transition").isin("segment", "timed"), F.col("next.gap") + F.col("pause_s")).otherwise(F.col("pause_s"))
+    t = t.withColumn("cut", cut).withColumn("duck_db", duck_db)
+    end = F.least(F.col("start") + F.col("duration_s"), F.coalesce(F.col("cut") + FRAGMENT_FADE, F.col("start") + F.col("duration_s")))
+    ignored = (F.col("mode") != "none") & ~F.col("transition").isin("interrupt", "backchannel")
+    return t.select(
+        *EPISODE, "turn_no", F.round("start", 3).alias("start_s"), F.round(end, 3).alias("end_s"), "transition", F.round("cut", 3).alias("cut_s"), F.when(F.col("duck_db").isNotNull(), F.round("next.start", 3)).alias("duck_s"), "duck_db",
+        F.round(F.when(~F.col("lies_inside"), F.coalesce(written, F.lit(0.0))), 3).alias("deliberate_s"), F.col("pause_s").cast("double").alias("pause_s"), ignored.alias("ignored"),
+    )
+
+
+def turn_words(turns: DataFrame) -> DataFrame:
+    """turns with words: estimated onsets, each word taking its letters and one more of the turn's length."""
+    tokens = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), "[\\s\\p{Z}]+"), lambda x: x != "")
+    t = turns.withColumn("tokens", tokens).withColumn("total", F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x) + 1))
+    before = lambda i: F.aggregate(F.slice("tokens", 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    return t.withColumn("words", F.transform("tokens", lambda x, i: F.struct(x.alias("word"), (F.col("duration_s") * before(i) / F.col("total")).alias("start_s")))).drop("tokens", "total")
+
+
+def script_turns(lines: DataFrame) -> DataFrame:
+    """The speaker turns of ``script.turns`` with what the timeline needs; the length is what the text takes."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "line_id", "text", "tags", "mode", "target", "cut_word", "pause_after_ms", "reaction")))
+    numbered = turn_numbers(lines)
+    t = numbered.groupBy(*EPISODE, "turn_no").agg(F.min_by("speaker", "pos").alias("speaker"), F.min_by("seg_no", "pos").alias("seg_no"), rows.alias("rows"))
+    head, tail = F.get("rows", F.lit(0)), F.try_element_at("rows", F.lit(-1))
+    words = F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), " ")
+    return turn_words(
+        t.select(
+            *EPISODE, F.col("turn_no").cast("long").alias("turn_no"), "speaker", "seg_no", head["mode"].alias("mode"), head["target"].alias("target"), head["cut_word"].alias("cut_word"), head["reaction"].alias("reaction"), head["tags"].alias("tags"),
+            F.transform("rows", lambda r: r["line_id"]).alias("line_ids"), tail["text"].alias("last_text"), (tail["pause_after_ms"] / 1000).alias("pause_s"), words.alias("text"), F.greatest(F.lit(0.3), F.length(words) / 15.0).alias("duration_s"), F.lit(None).cast("double").alias("timing_gap_s"),
+        )
+    ).withColumn("text", F.col("last_text")).drop("last_text")
 
 
 def unwritten_gaps(placed: DataFrame, most: float = 1.2) -> DataFrame:
-    """Silences between turns that move on, longer than ``most`` seconds."""
-
-
+    """Silences between turns that move on, longer than ``most`` seconds and than what is written there: the deliberate gap, the pause and UNWRITTEN_SLACK."""
     w = Window.partitionBy(*EPISODE).orderBy("turn_no")
     gap = F.lead("start_s").over(w) - F.col("end_s")
-    return placed.where("transition <> 'backchannel'").withColumn("gap_s", F.round(gap, 3)).where(F.col("gap_s") > most).select(*EPISODE, "turn_no", "gap_s")
+    moving = placed.where("transition <> 'backchannel'").withColumn("gap_s", F.round(gap, 3))
+    return moving.where((F.col("gap_s") > most) & (F.col("gap_s") > F.col("deliberate_s") + F.col("pause_s") + UNWRITTEN_SLACK)).select(*EPISODE, "turn_no", "gap_s")
 
 
 def _grams(text: str) -> np.ndarray:
@@ -156,14 +210,14 @@ def _grams(text: str) -> np.ndarray:
     return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
 
 
-def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Places of the kept texts that can reach REPEAT_RATIO; none that does is missed.
+def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray, ratio: float = REPEAT_RATIO, spread: float = REPEAT_LENGTH) -> np.ndarray:
+    """Places of the kept texts that can reach the ratio and whose length differs by less than spread of n; none that does is missed.
 
     A text of n characters with c of them in common with one of m keeps all but 3 (n - c) + 2 (m - c) of its n - 2 pieces. Pieces
     that share a bucket only raise the count.
     """
-    near = np.flatnonzero(np.abs(lengths - n) < REPEAT_LENGTH * n)
-    common = np.ceil(REPEAT_RATIO / 200 * (lengths[near] + n) - 1e-6)
+    near = np.flatnonzero(np.abs(lengths - n) < spread * n)
+    common = np.ceil(ratio / 200 * (lengths[near] + n) - 1e-6)
     least = n - 2 - 3 * (n - common) - 2 * (lengths[near] - common)
     shared = np.concatenate([np.minimum(kept[near[i : i + 4096]], grams).sum(axis=1) for i in range(0, len(near), 4096)] or [np.zeros(0)])
     return near[(common <= np.minimum(lengths[near], n)) & (shared >= least)]
@@ -199,3 +253,44 @@ def kept_paragraphs(paras: DataFrame) -> DataFrame:
     alone = F.when(chapter.isNull(), F.col("section_id"))
     rows = paras.select("book_id", "section_id", "para_no", chapter.alias("chapter_id"), section_no.alias("section_no"), alone.alias("alone"), F.lower(X.squash(F.col("para"))).alias("norm"))
     return rows.groupBy("book_id", "chapter_id", "alone").applyInPandas(fold, "book_id string, section_id string, para_no int, kept boolean")
+
+
+def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0) -> DataFrame:
+    """near_duplicate: a line outside quiz and recap that says nearly the same, in other characters, as an earlier one of its episode; claim_id is the first such line.
+
+    Every earlier line is compared that can reach the ratio by length and three-character pieces, so none is missed; lines of equal
+    text are compared once.
+    """
+    flat = lines.where(~F.col("seg_type").isin("quiz", "recap")).select(*EPISODE, "pos", "line_id", X.flat(F.col("text")).alias("flat"))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["pos", "line_id"])
+        known: dict[str, int] = {}
+        ids: list[str] = []
+        twins: dict[str, str | None] = {}
+        lengths, grams = np.zeros(64, dtype=np.int64), np.zeros((64, GRAM_BUCKETS), dtype=np.int32)
+        texts: list[str] = []
+        found = []
+        for text, line_id in zip(part["flat"], part["line_id"]):
+            k = len(texts)
+            if text in known and twins[text] is not None:
+                found.append((line_id, twins[text]))
+                continue
+            own = _grams(text)
+            later = known.get(text, -1) + 1  # an equal text was compared with those before it
+            near = _may_repeat(len(text), own, lengths[:k], grams[:k], ratio, 1.0)
+            twin = next((ids[i] for i in sorted(near) if i >= later and texts[i] != text and indel_ratio(texts[i], text) >= ratio), None)
+            twins[text] = twin
+            if twin is not None:
+                found.append((line_id, twin))
+            if text not in known:
+                known[text] = k
+                if k == len(lengths):
+                    lengths, grams = np.concatenate([lengths, np.zeros_like(lengths)]), np.concatenate([grams, np.zeros_like(grams)])
+                lengths[k], grams[k] = len(text), own
+                texts.append(text)
+                ids.append(line_id)
+        key = part.iloc[0] if len(part) else None
+        return pd.DataFrame([(key["book_id"], key["episode_id"], key["revision"], "near_duplicate", "warning", a, b) for a, b in found], columns=[*EPISODE, "rule", "severity", "line_id", "claim_id"])
+
+    return flat.where(F.length("flat") >= least).groupBy(*EPISODE).applyInPandas(fold, "book_id string, episode_id string, revision int, rule string, severity string, line_id string, claim_id string")

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +18,30 @@ SOUNDS = {"eh", "uh", "hm", "mm"}
 SHINGLE_WORDS, SHINGLE_SIMILARITY = 5, 0.8
 
 
-def spoken_words(text: str) -> list[str]:
-    """Words as a recogniser would write them: no accents, no punctuation, number words as digits."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
-    tokens = re.sub(r"[^\w\s]", " ", plain.replace("-", " ")).split()
-    return [NUMBER_WORDS.get(t, t) for t in tokens if t not in SOUNDS]
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters with marks and what they are without, then the marks themselves, which have no counterpart and so go."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFKD", chr(c))) > 1]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+_WITH_MARKS, _WITHOUT = _plain_letters()
+
+
+def spoken_words(text: Column, glossary: list[tuple[str, str]] | None = None) -> Column:
+    """Words as a recogniser would write them, as an array column: one token for every glossary surface and its spoken form (the
+    longest first), no accents, no punctuation, number words as digits, no hesitations.
+
+    glossary: (surface, spoken) pairs of one lexicon, which is small.
+    """
+    out = F.lower(text)
+    for surface, spoken in sorted(glossary or [], key=lambda e: (-len(e[0]), e[0].lower())):
+        token = f" {re.sub('[^a-z0-9]+', '', surface.lower())} "
+        for form in {surface.lower(), spoken.lower()} - {""}:
+            out = F.regexp_replace(out, f"{X.BEFORE}{re.escape(form)}{X.AFTER}", token)
+    plain = F.translate(out, _WITH_MARKS, _WITHOUT)
+    digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    tokens = F.filter(F.split(F.regexp_replace(plain, f"[^{X.WORD[1:-2]}]+", " "), " "), lambda w: (w != "") & ~w.isin(*SOUNDS))
+    return F.transform(tokens, lambda w: F.coalesce(F.try_element_at(digits, w), w))
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
@@ -35,15 +54,20 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def error_rate(reference: str | None, heard: str | None) -> float:
-    """Word error rate; an empty reference gives 0 against nothing and 1 against anything."""
-    a, b = spoken_words(reference or ""), spoken_words(heard or "")
+def error_rate(a: list[str], b: list[str]) -> float:
+    """Errors per word of a; an empty reference gives 0 against nothing and 1 against anything."""
     return edit_distance(a, b) / len(a) if a else float(bool(b))
 
 
 @F.pandas_udf(T.DoubleType())
-def word_error_rate(reference: pd.Series, heard: pd.Series) -> pd.Series:
-    return pd.Series([error_rate(a, b) for a, b in zip(reference, heard)], dtype="float64")
+def _error_rate(reference: pd.Series, heard: pd.Series) -> pd.Series:
+    return pd.Series([error_rate(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, heard)], dtype="float64")
+
+
+def word_error_rate(reference: str | Column, heard: str | Column, glossary: list[tuple[str, str]] | None = None) -> Column:
+    """Word error rate of two texts; a null text is an empty one. Only the comparison of differing texts leaves the JVM."""
+    a, b = (spoken_words(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), glossary) for c in (reference, heard))
+    return F.when(a == b, 0.0).otherwise(_error_rate(a, b))
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.session import kept
 
 EPISODE = ["book_id", "episode_id", "revision"]
 FINDING = [*EPISODE, "rule", "severity", "line_id", "claim_id"]
@@ -62,7 +63,7 @@ def _order() -> Window:
     return Window.partitionBy(*EPISODE).orderBy("pos", "line_id")
 
 
-def _found(df: DataFrame, rule: str | Column, severity: str = "blocking", line: str = "line_id", claim: str | None = None) -> DataFrame:
+def found(df: DataFrame, rule: str | Column, severity: str = "blocking", line: str = "line_id", claim: str | None = None) -> DataFrame:
     name = F.lit(rule) if isinstance(rule, str) else rule
     return df.select(*EPISODE, name.alias("rule"), F.lit(severity).alias("severity"), F.col(line).cast("string").alias("line_id"), (F.col(claim) if claim else F.lit(None).cast("string")).alias("claim_id"))
 
@@ -76,27 +77,27 @@ def with_previous(lines: DataFrame) -> DataFrame:
 def frame_rules(lines: DataFrame) -> DataFrame:
     """no_cold_open, no_outro."""
     ends = lines.groupBy(*EPISODE).agg(F.min_by("seg_type", "pos").alias("first"), F.max_by("seg_type", "pos").alias("last"), F.lit(None).cast("string").alias("line_id"))
-    return _found(ends.where("first <> 'cold_open'"), "no_cold_open", "warning").unionByName(_found(ends.where("last <> 'outro'"), "no_outro", "warning"))
+    return found(ends.where("first <> 'cold_open'"), "no_cold_open", "warning").unionByName(found(ends.where("last <> 'outro'"), "no_outro", "warning"))
 
 
 def cast_rules(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     """unknown_speaker, guest_outside_guest_segment. The cast is joined by id; a speaker that isn't in it is unknown."""
     cast = speakers.select(F.lower("id").alias("speaker"), "kind").dropDuplicates(["speaker"])
     joined = lines.join(cast, "speaker", "left")
-    unknown = _found(joined.where("kind is null"), "unknown_speaker")
-    return unknown.unionByName(_found(joined.where("kind = 'guest' and seg_type <> 'guest'"), "guest_outside_guest_segment"))
+    unknown = found(joined.where("kind is null"), "unknown_speaker")
+    return unknown.unionByName(found(joined.where("kind = 'guest' and seg_type <> 'guest'"), "guest_outside_guest_segment"))
 
 
 def overlap_rules(lines: DataFrame) -> DataFrame:
     """The ladder of overlap targets, one finding a line, and the rules on the line that is overlapped."""
     p = with_previous(lines).where("mode <> 'none'")
     ladder = F.when(F.col("line_no") == 1, "overlap_at_segment_start").when(~F.col("target").eqNullSafe(F.col("prev_line_id")), "overlap_target").when(F.col("speaker").eqNullSafe(F.col("prev_speaker")), "overlap_same_speaker")
-    out = _found(p.withColumn("ladder", ladder).where("ladder is not null"), F.col("ladder"))
+    out = found(p.withColumn("ladder", ladder).where("ladder is not null"), F.col("ladder"))
     cut = p.where("mode = 'interrupt' and prev_text is not null")
-    out = out.unionByName(_found(cut.where(~X.ends_in_fragment(F.col("prev_text"))), "interrupt_without_fragment", line="prev_line_id"))
-    out = out.unionByName(_found(cut.where(F.expr("cut_word is not null and locate(lower(cut_word), lower(prev_text)) = 0")), "cut_word_missing", "warning"))
-    out = out.unionByName(_found(p.where((F.col("mode") == "backchannel") & (X.word_count(F.col("text")) > 8)), "backchannel_too_long"))
-    return out.unionByName(_found(p.where(F.col("prev_text").rlike("[0-9]") | F.lower("prev_text").rlike(DEFINING)), "overlap_over_content"))
+    out = out.unionByName(found(cut.where(~X.ends_in_fragment(F.col("prev_text"))), "interrupt_without_fragment", line="prev_line_id"))
+    out = out.unionByName(found(cut.where(F.expr("cut_word is not null and locate(lower(cut_word), lower(prev_text)) = 0")), "cut_word_missing", "warning"))
+    out = out.unionByName(found(p.where((F.col("mode") == "backchannel") & (X.word_count(F.col("text")) > 8)), "backchannel_too_long"))
+    return out.unionByName(found(p.where(F.col("prev_text").rlike("[0-9]") | F.lower("prev_text").rlike(DEFINING)), "overlap_over_content"))
 
 
 def coverage_rules(lines: DataFrame, claims: DataFrame, least: int = 3) -> DataFrame:
@@ -107,7 +108,7 @@ def coverage_rules(lines: DataFrame, claims: DataFrame, least: int = 3) -> DataF
     needed = episodes.join(plan.where(F.col("exam_relevance") >= least), ["book_id", "episode_id"])
     missing = needed.join(told, [*EPISODE, "claim_id"], "left_anti").withColumn("line_id", F.lit(None).cast("string"))
     unknown = told.where(~F.col("claim_id").contains(":")).join(plan, ["book_id", "episode_id", "claim_id"], "left_anti")
-    return _found(missing, "missing_claim", claim="claim_id").unionByName(_found(unknown, "unknown_claim", "warning", claim="claim_id"))
+    return found(missing, "missing_claim", claim="claim_id").unionByName(found(unknown, "unknown_claim", "warning", claim="claim_id"))
 
 
 def phrase_rule(lines: DataFrame, phrases: list[str] | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def phrase_rule(lines: DataFrame, phrases: list[str] | None = None) -> DataFrame
     hits = F.filter(F.array(*map(F.lit, listed)), lambda p: F.rlike(text, X.whole_word(p)))
     alternatives = "|".join(f"\\Q{p}\\E" for p in listed)
     near = lines.where(text.rlike(f"{X.BEFORE}({alternatives}){X.AFTER}")).select("*", F.explode(hits).alias("phrase"))
-    return _found(near, "banned_phrase", claim="phrase")
+    return found(near, "banned_phrase", claim="phrase")
 
 
 def pattern_rules(lines: DataFrame, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -132,18 +133,31 @@ def definition_recital(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.lower(X.squash(F.col("text"))), FILLER, "")
     head = lines.where(F.col("text").contains(":")).withColumn("term", F.trim(F.substring_index(bare, ":", 1)))
     terms = definitions.select("book_id", "episode_id", F.trim(F.lower("term")).alias("term")).distinct()
-    return _found(head.join(terms, ["book_id", "episode_id", "term"]), "definition_recital", claim="term")
+    return found(head.join(terms, ["book_id", "episode_id", "term"]), "definition_recital", claim="term")
 
 
 def _markers(speakers: DataFrame) -> DataFrame:
     return speakers.select(F.lower("id").alias("owner"), F.explode("tic_markers").alias("marker")).where("trim(marker) <> ''").select("owner", F.lower("marker").alias("marker")).distinct()
 
 
+def _by_first_word(lines: DataFrame, text: str, terms: DataFrame, term: str, on: list[str]) -> DataFrame:
+    """lines(episode, line_id, text, ...) with every term of terms(term, *on, ...) that the lower-cased text holds as a whole word.
+
+    A term meets a line by its first word ('' if it has none), so no line is compared with every term; only keys and words are
+    exploded, and the text comes back for the pairs that are left.
+    """
+    bare = F.lit("")
+    first = terms.withColumn("word", F.coalesce(F.get(X.words(F.col(term)), F.lit(0)), bare))
+    each = lines.select(*EPISODE, "line_id", F.explode(F.array_distinct(F.concat(X.words(F.lower(text)), F.array(bare)))).alias("word"))
+    pairs = each.join(first, [*on, "word"]).drop("word")
+    back = lines.join(pairs, list(dict.fromkeys([*EPISODE, "line_id", *on])))
+    return back.where(F.expr(f"instr(lower({text}), {term}) > 0") & F.rlike(F.lower(text), X.whole_word(F.col(term))))
+
+
 def tic_leak(lines: DataFrame, speakers: DataFrame) -> DataFrame:
-    """A line with another speaker's marker. The cast is small and its size is left to the planner: a theta join on the markers."""
-    m = _markers(speakers)
-    hit = lines.join(m, (lines.speaker != m.owner) & F.expr("instr(lower(text), marker) > 0"))
-    return _found(hit.where(F.rlike(F.lower("text"), X.whole_word(F.col("marker")))), "tic_leak", claim="marker")
+    """A line with another speaker's marker."""
+    hit = _by_first_word(lines.select(*EPISODE, "line_id", "speaker", "text"), "text", _markers(speakers), "marker", [])
+    return found(hit.where("speaker <> owner"), "tic_leak", claim="marker")
 
 
 def tic_overuse(lines: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -152,7 +166,7 @@ def tic_overuse(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     total = lines.withColumn("allowed", 1 + F.floor(F.count(F.lit(1)).over(Window.partitionBy(*seg)) / 15))
     own = total.join(_markers(speakers).withColumnRenamed("owner", "speaker"), "speaker").where(F.rlike(F.lower("text"), X.whole_word(F.col("marker"))))
     nth = own.withColumn("nth", F.row_number().over(Window.partitionBy(*seg, "marker").orderBy("pos")))
-    return _found(nth.where("nth = allowed + 1"), "tic_overuse", claim="marker")
+    return found(nth.where("nth = allowed + 1"), "tic_overuse", claim="marker")
 
 
 def repeated_opening(lines: DataFrame) -> DataFrame:
@@ -160,7 +174,7 @@ def repeated_opening(lines: DataFrame) -> DataFrame:
     seg = [*EPISODE, "seg_no", "speaker"]
     o = lines.withColumn("opening", X.opening(F.col("text"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*seg))).where("opening <> ''")
     same = o.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*seg, "opening"))).withColumn("nth", F.row_number().over(Window.partitionBy(*seg, "opening").orderBy("pos")))
-    return _found(same.where("n >= 5 and same >= 3 and same >= 0.4 * n and nth = 3"), "repeated_opening", claim="opening")
+    return found(same.where("n >= 5 and same >= 3 and same >= 0.4 * n and nth = 3"), "repeated_opening", claim="opening")
 
 
 def duplicate_lines(lines: DataFrame, least: int = 40) -> DataFrame:
@@ -168,7 +182,7 @@ def duplicate_lines(lines: DataFrame, least: int = 40) -> DataFrame:
     keyed = lines.where("seg_type not in ('quiz', 'recap')").withColumn("key", X.bare_key(F.col("text"))).where(F.length("key") >= least)
     w = Window.partitionBy(*EPISODE, "key").orderBy("pos")
     seen = keyed.withColumn("first_id", F.first("line_id").over(w)).withColumn("nth", F.row_number().over(w))
-    return _found(seen.where("nth > 1"), "duplicate_line", claim="first_id")
+    return found(seen.where("nth > 1"), "duplicate_line", claim="first_id")
 
 
 def formula_rules(lines: DataFrame) -> DataFrame:
@@ -177,8 +191,8 @@ def formula_rules(lines: DataFrame) -> DataFrame:
     out = None
     for rule, hit, most in (("stock_phrase", short, 3), ("source_talk", F.col("text").rlike(SOURCE_TALK), 2)):
         h = lines.where(hit).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*EPISODE))).withColumn("nth", F.row_number().over(Window.partitionBy(*EPISODE, "seg_no").orderBy("pos")))
-        found = _found(h.where((F.col("n") > most) & (F.col("nth") == 1)), rule)
-        out = found if out is None else out.unionByName(found)
+        hits = found(h.where((F.col("n") > most) & (F.col("nth") == 1)), rule)
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
@@ -191,15 +205,15 @@ def retelling_rules(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     first = told.withColumn("first_pos", F.min("pos").over(Window.partitionBy(*EPISODE, "claim_id"))).where("pos = first_pos")
     skeptic = speakers.where("role = 'skeptic'").select(F.lower("id").alias("speaker")).distinct()
     early = first.where(~F.col("seg_type").isin(*RETELLING)).join(skeptic, "speaker", "left_semi")
-    return _found(repeated, "claim_repeated", "warning", claim="claim_id").unionByName(_found(early, "skeptic_fact", "warning", claim="claim_id"))
+    return found(repeated, "claim_repeated", "warning", claim="claim_id").unionByName(found(early, "skeptic_fact", "warning", claim="claim_id"))
 
 
 def speakable_rules(lines: DataFrame) -> DataFrame:
     """written_syntax, number_overload, uncovered_fact."""
-    out = _found(lines.where(F.col("text").contains(";") | ((F.size("covers") > 0) & F.col("text").rlike(":\\s+\\S"))), "written_syntax", "warning")
-    out = out.unionByName(_found(lines.where(F.regexp_count("text", F.lit("[0-9]+([.,][0-9]+)?")) > 3), "number_overload", "warning"))
+    out = found(lines.where(F.col("text").contains(";") | ((F.size("covers") > 0) & F.col("text").rlike(":\\s+\\S"))), "written_syntax", "warning")
+    out = out.unionByName(found(lines.where(F.regexp_count("text", F.lit("[0-9]+([.,][0-9]+)?")) > 3), "number_overload", "warning"))
     bare = lines.where((F.size("covers") == 0) & F.col("seg_type").isin(*FACT_SEGMENTS) & F.col("text").rlike("[0-9]") & (F.length("text") > 60))
-    return out.unionByName(_found(bare, "uncovered_fact", "warning"))
+    return out.unionByName(found(bare, "uncovered_fact", "warning"))
 
 
 def telegraphic(lines: DataFrame) -> DataFrame:
@@ -208,18 +222,23 @@ def telegraphic(lines: DataFrame) -> DataFrame:
     marked = sized.where("total >= 6").withColumn("hit", (F.size("lens") >= 2) & (F.col("total") / F.size("lens") < 5))
     seg = Window.partitionBy(*EPISODE, "seg_no")
     counted = marked.withColumn("hits", F.sum(F.col("hit").cast("int")).over(seg)).withColumn("lines", F.count(F.lit(1)).over(seg)).where("hit and hits >= 2 and hits >= 0.2 * lines")
-    return _found(counted.withColumn("nth", F.row_number().over(seg.orderBy("pos"))).where("nth <= 4"), "telegraphic", "warning")
+    return found(counted.withColumn("nth", F.row_number().over(seg.orderBy("pos"))).where("nth <= 4"), "telegraphic", "warning")
 
 
-def episode_stats(lines: DataFrame) -> DataFrame:
-    """Lines, characters, estimated minutes, overlaps and quiz facts of each episode, in one aggregation."""
+def episode_stats(lines: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
+    """Questions count in a quiz if the skeptic of the cast asks them (without a cast: anyone). Lines, characters, estimated minutes, overlaps and quiz facts of each episode, in one aggregation."""
     quiz_no = F.min(F.when(F.col("seg_type") == "quiz", F.col("seg_no"))).over(Window.partitionBy(*EPISODE))
     q = lines.withColumn("in_quiz", F.col("seg_no") == quiz_no)
+    if speakers is None:
+        q = q.withColumn("asks", F.lit(True))
+    else:
+        skeptics = speakers.where("role = 'skeptic'").select(F.lower("id").alias("speaker"), F.lit(True).alias("asks")).distinct()
+        q = q.join(skeptics, "speaker", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     seconds = F.sum(F.length("text")) / CHARS_PER_SECOND + F.count(F.lit(1)) * SECONDS_PER_LINE + F.sum("pause_after_ms") / 1000
     stats = q.groupBy(*EPISODE).agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"), F.round(seconds / 60, 4).alias("minutes"), F.max("target_minutes").alias("target_minutes"),
         F.count_if(F.col("mode") == "interrupt").alias("interrupts"), F.count_if(F.col("mode") == "backchannel").alias("backchannels"),
-        F.coalesce(F.bool_or("in_quiz"), F.lit(False)).alias("has_quiz"), F.count_if(F.col("in_quiz") & F.col("text").contains("?") & (F.col("speaker") == "tjalk")).alias("quiz_questions"),
+        F.coalesce(F.bool_or("in_quiz"), F.lit(False)).alias("has_quiz"), F.count_if(F.col("in_quiz") & F.col("text").contains("?") & F.col("asks")).alias("quiz_questions"),
         F.coalesce(F.max(F.when(F.col("in_quiz"), F.col("pause_after_ms"))), F.lit(0)).alias("quiz_pause"),
     )
     return stats
@@ -239,8 +258,8 @@ def budget_rules(stats: DataFrame) -> DataFrame:
     ]
     out = None
     for rule, severity, when in checks:
-        found = _found(s.where(when), rule, severity)
-        out = found if out is None else out.unionByName(found)
+        hits = found(s.where(when), rule, severity)
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
@@ -248,14 +267,15 @@ def flat_reaction(lines: DataFrame) -> DataFrame:
     """Share of tagged answers to tagged lines of another speaker is below 0.3, where there are at least four such answers."""
     pairs = with_previous(lines).where("size(prev_tags) > 0 and speaker <> prev_speaker")
     rate = pairs.groupBy(*EPISODE).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("tags") > 0).alias("tagged")).withColumn("line_id", F.lit(None).cast("string"))
-    return _found(rate.where("n >= 4 and tagged / n < 0.3"), "flat_emotional_reaction", "warning")
+    return found(rate.where("n >= 4 and tagged / n < 0.3"), "flat_emotional_reaction", "warning")
 
 
 def audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> DataFrame:
-    """All rules as one list of findings."""
+    """All rules as one list of findings. The lines are kept once, by episode and in order, so that no rule sorts or shuffles them anew."""
+    lines = kept(lines.repartition(*EPISODE).sortWithinPartitions(*EPISODE, "pos", "line_id"))
     parts = [
         frame_rules(lines), cast_rules(lines, speakers), overlap_rules(lines), coverage_rules(lines, claims), phrase_rule(lines), tic_leak(lines, speakers), tic_overuse(lines, speakers),
-        repeated_opening(lines), duplicate_lines(lines), formula_rules(lines), retelling_rules(lines, speakers), speakable_rules(lines), telegraphic(lines), budget_rules(episode_stats(lines)), flat_reaction(lines),
+        repeated_opening(lines), duplicate_lines(lines), formula_rules(lines), retelling_rules(lines, speakers), speakable_rules(lines), telegraphic(lines), budget_rules(episode_stats(lines, speakers)), flat_reaction(lines),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -269,6 +289,21 @@ def full_audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame, definit
     return out if definitions is None else out.unionByName(definition_recital(lines, definitions))
 
 
+def overlap_over_terms(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """overlap_over_content for terms: an overlap on a line that holds a loanword or notation of the book's lexicon as a whole word."""
+    over = with_previous(lines).where("mode <> 'none' and prev_text is not null").select(*EPISODE, "line_id", "prev_text")
+    terms = lexicon.where("kind in ('loanword_en', 'notation', 'loanword')").select("book_id", F.lower(F.trim("surface")).alias("term")).where("length(term) > 1").distinct()
+    return found(_by_first_word(over, "prev_text", terms, "term", ["book_id"]).select(*EPISODE, "line_id").distinct(), "overlap_over_content")
+
+
+def empty_rules(lines: DataFrame, segments: DataFrame) -> DataFrame:
+    """segments(episode, seg_no or null) -> empty_script: an episode without segments; empty_segment: a segment without lines (claim_id is its number)."""
+    none = segments.groupBy(*EPISODE).agg(F.count("seg_no").alias("n"), F.lit(None).cast("string").alias("line_id")).where("n = 0")
+    bare = segments.where("seg_no is not null").select(*EPISODE, "seg_no").distinct().join(lines.select(*EPISODE, "seg_no").distinct(), [*EPISODE, "seg_no"], "left_anti")
+    bare = bare.select(*EPISODE, F.lit(None).cast("string").alias("line_id"), F.col("seg_no").cast("string").alias("claim_id"))
+    return found(none, "empty_script").unionByName(found(bare, "empty_segment", claim="claim_id"))
+
+
 def verdicts(findings: DataFrame) -> DataFrame:
     """Counts by severity and whether the episode passes, per episode with findings."""
     return findings.groupBy(*EPISODE).agg(F.count_if(F.col("severity") == "blocking").alias("blocking"), F.count_if(F.col("severity") == "warning").alias("warnings"), (~F.bool_or(F.col("severity") == "blocking")).alias("passed"))
@@ -280,12 +315,16 @@ def best_revision(findings: DataFrame) -> DataFrame:
     return v.groupBy("book_id", "episode_id").agg(F.min_by("revision", F.struct("blocking", "warnings", -F.col("revision"))).alias("best_revision"))
 
 
-def turns(lines: DataFrame) -> DataFrame:
-    """Speaker turns: a new one at a new segment or speaker, at an own overlap, after a pause and after an overlap."""
+def turn_numbers(lines: DataFrame) -> DataFrame:
+    """Lines with turn_no: a new turn at a new segment or speaker, at an own overlap, after a pause and after an overlap."""
     p = with_previous(lines)
     new = F.col("prev_line_id").isNull() | (F.col("seg_no") != F.col("prev_seg_no")) | ~F.col("speaker").eqNullSafe(F.col("prev_speaker")) | (F.col("mode") != "none") | (F.col("prev_pause_after_ms") > 0) | (F.col("prev_mode") != "none")
-    numbered = p.withColumn("turn_no", F.sum(F.when(new, 1).otherwise(0)).over(_order()))
-    return numbered.groupBy(*EPISODE, "turn_no").agg(F.min_by("speaker", "pos").alias("speaker"), F.min_by("seg_type", "pos").alias("seg_type"), F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("lines"), F.sum(X.word_count(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"))
+    return p.withColumn("turn_no", F.sum(F.when(new, 1).otherwise(0)).over(_order()))
+
+
+def turns(lines: DataFrame) -> DataFrame:
+    """Speaker turns with their lines, words and characters."""
+    return turn_numbers(lines).groupBy(*EPISODE, "turn_no").agg(F.min_by("speaker", "pos").alias("speaker"), F.min_by("seg_type", "pos").alias("seg_type"), F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("lines"), F.sum(X.word_count(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"))
 
 
 def renumbered(lines: DataFrame) -> DataFrame:

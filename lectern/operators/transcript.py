@@ -62,3 +62,42 @@ def early_terms(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> Dat
     first = said.join(terms, ["book_id", "episode_id", "term"]).withColumn("nth", F.row_number().over(Window.partitionBy(*EPISODE, "term").orderBy("pos", "line_id"))).where("nth = 1")
     skeptic = speakers.where("role = 'skeptic'").select(F.lower("id").alias("speaker")).distinct()
     return first.where("seg_type <> 'quiz'").join(skeptic, "speaker", "left_semi").select(*EPISODE, "line_id", "term")
+
+
+# Sounds that are no words, what stands between the parts of a compound, and the least letters of a word and a part.
+WORD_SOUNDS = ["haha", "hahaha", "hehe", "hihi", "pff", "pfff", "hmm", "hmmm", "eh", "ehm", "uh", "uhm", "oeh", "jeetje", "tja", "nou", "oké", "oke", "joh", "ach", "goh", "poeh", "aha", "oei", "wauw"]
+LINKS, LEAST_LETTERS = ("", "s", "e", "en"), 4
+_SPOKEN = "([\\p{L}]+(?:['’][\\p{L}]+)*)"
+
+
+def spoken_vocabulary(df: DataFrame, column: str) -> DataFrame:
+    """(book_id, word): the words of a text column."""
+    return df.where(F.col(column).isNotNull()).select("book_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(_SPOKEN), F.lit(1)))).alias("word")).distinct()
+
+
+def _splits(words: DataFrame) -> DataFrame:
+    """(book_id, word, head, rest): every way to cut a word into a part and, behind a link, a rest."""
+    cuts = words.where(F.length("word") >= 2 * LEAST_LETTERS).select("book_id", "word", F.explode(F.sequence(F.lit(LEAST_LETTERS), F.length("word") - LEAST_LETTERS)).alias("cut"))
+    parts = cuts.select("book_id", "word", F.substring("word", F.lit(1), F.col("cut")).alias("head"), F.expr("substring(word, cut + 1)").alias("tail"))
+    linked = parts.select("book_id", "word", "head", F.explode(F.array(*[F.when(F.col("tail").startswith(x), F.expr(f"substring(tail, {len(x) + 1})")) for x in LINKS])).alias("rest"))
+    return linked.where(F.length("rest") >= LEAST_LETTERS)
+
+
+def unknown_words_by_episode(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(episode, word, line_id): words said in an episode that known(book_id, word) doesn't hold, nor as a compound of up to three of
+    its words with a link between; each once an episode, with its first line. Short words, words in capitals and names are left alone."""
+    names = "(?<=[^.!?:…—\"'“‘\\s]\\s{1,3})\\p{Lu}[\\p{L}'’]*"
+    bare = F.regexp_replace(F.regexp_replace("text", names, " "), "(?<![\\p{L}'’])\\p{Lu}{2,}(?![\\p{L}'’])", " ")
+    said = lines.where("text is not null").select(*EPISODE, "pos", "line_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_SPOKEN), F.lit(1)))).alias("word")).where(F.length("word") >= LEAST_LETTERS)
+    first = said.groupBy(*EPISODE, "word").agg(F.min_by("line_id", F.struct("pos", "line_id")).alias("line_id"))
+    given = known.select("book_id", "word").distinct()
+    unknown = first.select("book_id", "word").distinct().where(~F.col("word").isin(*WORD_SOUNDS)).join(given, ["book_id", "word"], "left_anti")
+    heads = given.select("book_id", F.col("word").alias("head"))
+    rests = given.select("book_id", F.col("word").alias("rest"))
+    cut = _splits(unknown).join(heads, ["book_id", "head"], "left_semi")
+    two = cut.join(rests, ["book_id", "rest"], "left_semi")
+    inner = _splits(cut.select("book_id", F.col("rest").alias("word")).distinct()).join(heads, ["book_id", "head"], "left_semi").join(rests, ["book_id", "rest"], "left_semi").select("book_id", F.col("word").alias("rest")).distinct()
+    three = cut.join(inner, ["book_id", "rest"], "left_semi")
+    compounds = two.unionByName(three).select("book_id", "word").distinct()
+    left = unknown.join(compounds, ["book_id", "word"], "left_anti")
+    return first.join(left, ["book_id", "word"], "left_semi").select(*EPISODE, "word", "line_id")

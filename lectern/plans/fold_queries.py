@@ -24,8 +24,8 @@ def _summaries(spark, folder):
 QUERIES = {
     "script_emotion_carry": lambda spark, folder: W.emotion_carry(_lines(spark, folder), table(spark, folder, "speakers")),
     "script_blocks": lambda spark, folder: W.script_blocks(_lines(spark, folder)),
-    "script_timeline": lambda spark, folder: W.timeline(W.line_turns(_lines(spark, folder))),
-    "script_unwritten_gaps": lambda spark, folder: W.unwritten_gaps(W.timeline(W.line_turns(_lines(spark, folder)))),
+    "script_timeline": lambda spark, folder: W.timeline(W.script_turns(_lines(spark, folder))),
+    "script_unwritten_gaps": lambda spark, folder: W.unwritten_gaps(W.timeline(W.script_turns(_lines(spark, folder)))),
     "sections_kept_paragraphs": lambda spark, folder: W.kept_paragraphs(D.paragraphs(table(spark, folder, "sections"))),
     "sections_model_summaries": _summaries,
 }

@@ -44,8 +44,8 @@ QUERIES = {
     "script_retelling_rules": _with_cast(S.retelling_rules),
     "script_speakable_rules": _on_lines(S.speakable_rules),
     "script_telegraphic": _on_lines(S.telegraphic),
-    "script_episode_stats": lambda spark, folder: S.episode_stats(_lines(spark, folder)),
-    "script_budget_rules": lambda spark, folder: S.budget_rules(S.episode_stats(_lines(spark, folder))),
+    "script_episode_stats": lambda spark, folder: S.episode_stats(_lines(spark, folder), table(spark, folder, "speakers")),
+    "script_budget_rules": lambda spark, folder: S.budget_rules(S.episode_stats(_lines(spark, folder), table(spark, folder, "speakers"))),
     "script_flat_reaction": _on_lines(S.flat_reaction),
     "script_audit_verdicts": lambda spark, folder: S.verdicts(_audit(spark, folder)),
     "script_audit_by_rule": lambda spark, folder: _audit(spark, folder).groupBy("rule", "severity").count().withColumnRenamed("count", "findings"),
