@@ -34,10 +34,9 @@ def write_by_key(df: DataFrame, path: str, key: str = "content_key") -> None:
     """Content-addressed store: files partitioned by the first two characters of the key; rows whose key is stored already are left out."""
     spark = df.sparkSession
     new = df.withColumn("prefix", F.substring(key, 1, 2)).dropDuplicates([key])
-    try:
-        old = spark.read.parquet(path).select(key)
-    except Exception:  # nothing stored yet
-        old = None
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stored = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    old = spark.read.parquet(path).select(key) if stored else None
     (new.join(old, key, "left_anti") if old is not None else new).write.mode("append").partitionBy("prefix").parquet(path)
 
 
