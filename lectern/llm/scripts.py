@@ -52,6 +52,18 @@ def one_form(text: str) -> str:
     return LOOKALIKE_WORD.sub(lambda m: m.group().translate(_LOOKS), text)
 
 
+def _styled_letters() -> dict[str, str]:
+    """Letters and digits in a mathematical or letter-like style, each with the plain one (by rule from Unicode data)."""
+    out = {}
+    for code in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D800)):
+        kind, _, plain = unicodedata.decomposition(chr(code)).partition(" ")
+        if kind == "<font>" and " " not in plain:
+            out[chr(code)] = chr(int(plain, 16))
+    return out
+
+
+#: What the skeleton's last step replaces: the look-alikes and styled letters.
+_PROTOTYPES = str.maketrans(_styled_letters() | PROTOTYPES)
 _NO_INVISIBLE = dict.fromkeys(map(ord, INVISIBLE))
 _TO_SPACE = {ord(c): " " for c in SPACES}
 _SPELT = {ord(k): v for k, v in COMPAT.items()}
@@ -80,7 +92,7 @@ def skeleton_steps(text: str) -> list[tuple[str, str]]:
     out.append(("combining", text))
     text = LOOKALIKE_WORD.sub(lambda m: m.group().translate(_LOOKS), text)
     out.append(("lookalike", text))
-    text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_LOOKS))
+    text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPES))
     out.append(("prototype", text))
     return out
 

@@ -358,6 +358,56 @@ def test_label_model_finds_reliable_labelers():
     assert ((posterior > 0.5) == truth).mean() > 0.88
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_methods_are_in_the_plans(spark, folder):
+    terms_plan = plan_of(terms.p4_found(spark, folder))
+    assert "MapInArrow" in terms_plan and "rangepartitioning" in terms_plan and "Sort [term" in terms_plan
+    assert "container" in plan_of(containers.p3_found(spark, folder)) and "ArrowEvalPython" in plan_of(containers.p3_found(spark, folder))
+    assert "SortMergeJoin" in plan_of(scans.p1_repaired(spark, folder))
+
+
+def test_skeleton_keeps_superscripts_and_knows_styles():
+    assert scripts.skeleton("5 m\u00b2") == "5 m\u00b2" and scripts.skeleton("\U0001d427\u0456et") == "niet"
+    assert looks.disguise_kinds("\U0001d427iet m\u00b2") == []
+
+
+def test_runs_go_on_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = sorted((t, f, r, rng.randint(1, 5)) for t in "abcd" for f in "xy" for r in "123456789" for _ in range(rng.choice([0, 1, 1, 2])))
+    want = {}
+    for t, f, r, n in rows:
+        want.setdefault((f, t), {}).setdefault(r, []).append(n)
+    want = {k: (sum(max(x) for x in v.values()), len(v)) for k, v in want.items()}
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[1] for x in part], [x[0] for x in part], [x[2] for x in part], [x[3] for x in part])], names=["field", "term", "record", "n"]) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = [tuple(r.values()) for b in terms._scan_runs(iter(batches)) for r in b.to_pylist()]
+        assert {(f, t): (o, r) for f, t, o, r in got} == want and len(got) == len(want)
+    assert list(terms._scan_runs(iter([]))) == []
+
+
+def test_pieces_are_at_least_half_full():
+    head, tail = "Kop. " * 50 + "\n\n", "Een zin van dit lange stuk tekst zonder witregels. " * 400
+    parts = pieces.cut_points(head + tail, [i + 1 for i, c in enumerate(head + tail) if c == "."], 8000, 200)
+    assert all(b - a > 4000 for a, b, _ in parts[:-1])
+
+
+def test_long_unbroken_texts_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        sentences.parse("风速的实验会突然下降。老师说什么。" * n, "t", sentences.Counter())
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 40 * max(took(800), 0.01)
+
+
 def test_all_queries_run(spark, folder):
     for name, query in queries.QUERIES.items():
         assert query(spark, folder).count() >= 0, name
