@@ -12,6 +12,7 @@ from lectern.operators import episode as E
 from lectern.operators import folds as W
 from lectern.operators import planning as P
 from lectern.operators import script as S
+from lectern.operators import sound as D
 from lectern.operators import transcript as N
 from lectern.plans.planning_queries import _C
 from lectern.plans.script_queries import BASE, _rule, _union
@@ -110,6 +111,8 @@ QUERIES = {
     "units_sections": lambda spark, folder: B.book_sections(_units(spark, folder), table(spark, folder, "books").select("book_id", "title")).drop("text"),
     "sections_parts": lambda spark, folder: E.section_parts(table(spark, folder, "sections")).select("book_id", "section_id", "part_no", "parts", F.length("text").alias("chars"), F.md5("text").alias("digest")),
     "chapters_readings": lambda spark, folder: E.chapter_parts(table(spark, folder, "sections")),
+    "clips_band_corrections": lambda spark, folder: D.band_corrections(table(spark, folder, "embeddings"), "label", "embedding", F.lit(16000)),
+    "script_breath_places": lambda spark, folder: D.breath_places(W.timeline(W.script_turns(_lines(spark, folder))), S.EPISODE, F.least(F.lit(0.9), 0.65 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("end_s") - F.col("start_s") - 2.0) / 3.0)))),
     "books_slugs": lambda spark, folder: E.slugs(table(spark, folder, "books").select("book_id", "title").dropDuplicates(["book_id"]), "title", "book_id"),
 }
 
