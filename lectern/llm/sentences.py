@@ -10,7 +10,6 @@ and page numbers are skipped and a paragraph goes on across them; a table block
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections import Counter
@@ -74,26 +73,43 @@ def _blanked(text: str, title: str | None) -> str:
     return "".join(parts)
 
 
+#: Longer tokens (unbroken strings, texts without spaces) are counted by their first characters, so that keys stay short.
+LONG_TOKEN = 64
+_HEAD = re.compile(f"\\S{{1,{LONG_TOKEN + 16}}}")
+_WORD_BEFORE = re.compile("[^\\s。！？，、；：]+")
+
+
 def _norm(token: str) -> str:
-    return _NUM.sub("#", token)
+    return _NUM.sub("#", token[:LONG_TOKEN])
+
+
+def _last_word(para: str, end: int) -> str:
+    """The word before a place, up to white space or a wide mark: looked for in a window that grows until it holds the word's beginning."""
+    width = 48
+    while True:
+        low = max(0, end - width)
+        words = _WORD_BEFORE.findall(para, low, end)
+        if low == 0 or len(words) > 1 or words and not _WORD_BEFORE.match(para, low, low + 1):
+            return words[-1] if words else ""
+        width *= 8
 
 
 def _right(para: str, at: int) -> tuple[str, str, str]:
     """(class, token, short token) of what follows: U, l, #, o (no case), C (wide script, no space), p (continuing mark), '' (end)."""
-    m = _TOKEN.search(para, at)
+    m = _HEAD.search(para, at)
     if not m:
         return "", "", ""
     raw = m.group()
     word = _LEFT_TRIM.sub("", raw)
     if not word:
-        nxt = _TOKEN.search(para, m.end())
+        nxt = _HEAD.search(para, m.end())
         word = _LEFT_TRIM.sub("", nxt.group()) if nxt else ""
     if raw[0] in ",;:)]}»”，、；：" or raw[0] in "·":
         return "p", word, word
     if word[:1] and _WIDE_ANY.match(word):
         return "C", _norm(word[:6])[:3], _norm(word[:6])[:2]
     if raw[:2] in ("'s", "'t", "’s", "’t", "'n", "’n", "'k") and len(raw) <= 2:
-        nxt = _TOKEN.search(para, m.end())
+        nxt = _HEAD.search(para, m.end())
         word = nxt.group() if nxt else word
         return ("U" if word[:1].isupper() else "l"), raw, raw
     word = _RIGHT_TRIM.sub("", word)
@@ -126,8 +142,7 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
         found = [(m.start(), m.end(), m.group()) for m in _SITE.finditer(para)]
         if _THAI_ANY.search(para):
             found = sorted(found + [(m.start(), m.start(), " ") for m in _SPACE_IN_THAI.finditer(para)])
-        tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(para)]
-        heads = [h for h, _ in tokens]
+        tokens = para.split()
         _count_words(tokens, stats)
         before = lead
         for start, stop, mark in found:
@@ -139,8 +154,7 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
             if not spaced and not wide:
                 continue
             kind, token, short = _right(para, stop)
-            at = bisect.bisect_left(heads, start)
-            token_left = para[heads[at - 1] : start].rstrip() if at else ""
+            token_left = _last_word(para, start)
             left = _norm(_LEFT_TRIM.sub("", _RIGHT_TRIM.sub("", token_left)).lower())
             closed = any(c in "\"”’“»」』" for c in mark[1:])
             if kind == "#" and mark == "." and token_left.startswith("(") and ")" not in token_left:
@@ -154,14 +168,13 @@ def parse(text: str, title: str | None, stats: Counter) -> list[tuple[int, int,
                 stats["start", token] += 1
             elif odds == 0:
                 stats["open", token] += 1
-            first = bisect.bisect_left(heads, before)
-            words = at - first + (before < start and (first >= len(heads) or heads[first] != before) and not para[before].isspace())
+            words = len(para[before:start].split())
             places.append((no, a + stop, words, left, token, short, ("W" if wide or kind in "Co" else "A") + kind + ("." if mark[0] == "." and not closed else mark[0]), odds))
             before = stop
-        last = tokens[-1][1]
+        last = tokens[-1]
         if last.endswith(".") and not last.endswith(".."):
             stats["end", _norm(_LEFT_TRIM.sub("", last.rstrip(".")).lower())] += 1
-        places.append((no, end, max(2, len(tokens) - bisect.bisect_left(heads, before)), "", "", "", "E", CERTAIN))
+        places.append((no, end, max(2, len(para[before:].split())), "", "", "", "E", CERTAIN))
     return places
 
 
@@ -192,10 +205,12 @@ def _certain(mark: str, kind: str, closed: bool, wide: bool, left: str, stats: C
     return CERTAIN
 
 
-def _count_words(tokens: list[tuple[int, str]], stats: Counter) -> None:
+def _count_words(tokens: list[str], stats: Counter) -> None:
     """Plain words, and capitalised words after a word without any mark."""
     previous = ""
-    for _, token in tokens:
+    for token in tokens:
+        if len(token) > LONG_TOKEN:
+            token = token[:LONG_TOKEN]
         last = previous[-1:]
         first = token[0]
         if first.isalpha():
@@ -218,22 +233,34 @@ _ROW = T.StructType(
 )
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_ROW.fieldNames())
+    for c in ("para", "end_pos", "words", "n"):
+        out[c] = out[c].astype("Int64")
+    return out
+
+
+def _counted(stats: Counter) -> pd.DataFrame:
+    rows = [(kind, token, n, None, None, None, None, None, None, None, None, None, None) for (kind, token), n in stats.items() if token]
+    stats.clear()
+    return _frame(rows)
+
+
+#: Different words and kinds that a task adds up before it writes their counts.
+HELD_COUNTS = 300_000
+
+
 def _parse_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = _ROW.fieldNames()
+    stats: Counter = Counter()
     for part in parts:
-        stats: Counter = Counter()
-        rows: list[tuple] = []
-        for book, section, text, title in zip(part["book_id"], part["section_id"], part["text"], part["title"]):
-            rows.extend(("place", None, None, book, section, *p) for p in parse(text, title, stats))
-        rows.extend((kind, token, n, None, None, None, None, None, None, None, None, None, None) for (kind, token), n in stats.items() if token)
-        out = pd.DataFrame(rows, columns=columns)
-        for c in ("para", "end_pos", "words", "n"):
-            out[c] = out[c].astype("Int64")
-        yield out
+        yield _frame([("place", None, None, book, section, *p) for book, section, text, title in zip(part["book_id"], part["section_id"], part["text"], part["title"]) for p in parse(text, title, stats)])
+        if len(stats) > HELD_COUNTS:
+            yield _counted(stats)
+    yield _counted(stats)
 
 
 def places_and_stats(sections: DataFrame, books: DataFrame) -> DataFrame:
-    """One pass over the texts: places as rows of kind 'place', statistics pre-added per batch; kept in the checkpoint folder."""
+    """One pass over the texts: places as rows of kind 'place', statistics added up per task; kept in the checkpoint folder."""
     spark = sections.sparkSession
     ensure_checkpoint_dir(spark)
     bounded_arrow_batches(spark)
