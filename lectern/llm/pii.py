@@ -42,21 +42,22 @@ _CUE_ADDRESS = r"(?:bezorgadres:?|adres[=:]?|woon(?:t)? (?:op|aan)|live at|lives
 _CUES = {k: re.compile(v, re.IGNORECASE) for k, v in (("name", _CUE_NAME), ("title", _TITLE), ("id", _CUE_ID), ("phone", _CUE_PHONE), ("other", _NO_PHONE), ("address", _CUE_ADDRESS))}
 _BAD_NAME = re.compile(r"(?:Huize|Stichting|Instituut|Institut|Universit\w+|Vereniging|Museum|School|College|Bibliothe\w+|Redacti\w+|Redaktion|Street|Road|Lane|Ave|Avenue|Rue|Calle|Straße|Weg|Uitgeverij|Verlag|Old|New|Saint|Sankt|Hotel|Café|Zaal|Bank)$")
 
+# Each pattern of spans begins with the signs that a span can begin with, so that most places are passed over at once.
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŁŚŠŽ", "a-zßà-öø-ÿłśšž"
 _PART_WORDS = "|".join(f"{p}|{p.upper()}|{p[0].upper()}{p[1:]}" for p in _PARTS.split("|"))
 _SUR = f"(?:[Dd]['’])?[{_UP}][{_UP}{_LOW}'’]+(?:-[{_UP}][{_UP}{_LOW}'’]+)?"
-_NAME = re.compile(f"(?<![\\w@.'’-])(?:(?P<given>[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?|[{_UP}]{{3,}})[  ](?P<mid>(?:[A-Z]\\.[  ]?){{0,3}})|(?P<init>(?:[A-Z]\\.[  ]?){{1,4}}))(?P<part>(?:(?:{_PART_WORDS})[  ]){{0,2}})(?P<sur>{_SUR})(?![\\w@])")
+_NAME = re.compile(f"(?=[{_UP}])(?<![\\w@.'’-])(?:(?P<given>[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?|[{_UP}]{{3,}})[  ](?P<mid>(?:[A-Z]\\.[  ]?){{0,3}})|(?P<init>(?:[A-Z]\\.[  ]?){{1,4}}))(?P<part>(?:(?:{_PART_WORDS})[  ]){{0,2}})(?P<sur>{_SUR})(?![\\w@])")
 _LOWER_NAME = re.compile(f"(?:groet(?:en)?,\\n|regards,\\n|Grüßen,?\\n|Cordialement,\\n|saludo,\\n|naam=|contact: |mevr\\. |dhr\\. |Mrs?\\. |naam is |[Nn]ame is |Name ist |llamo |appelle |anders aan )(?P<name>(?P<given>[{_LOW}]{{3,}})(?: (?:[{_LOW}]\\.)+)?(?: (?:{_PARTS}))*(?: [{_LOW}][{_LOW}'’-]{{3,}})?)(?=\\n|[;,]| \\(| en ik| and I| et j| y ten| und ich| staat| at \\d|$)")
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|apenstaart|arobase|arroba|ät)\s?[\])}]\s?|\s(?:at|apenstaart|apestaart|arobase|arroba)\s)"
 _DOMAIN = r"(?:[A-Za-z0-9-]+(?:\.|\s?[\[({]\s?(?:dot|punt|point|punto|punkt)\s?[\])}]\s?|\s(?:dot|punt|point|punto|punkt)\s))+[A-Za-z]{2,}\b"
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9_])?" + _AT + _DOMAIN)
 #: The end of every address; cheap, as it starts at a sign or word for "at".
 _MAY_EMAIL = re.compile(_AT.replace(r"\s?@", "@").replace(r"\s?[\[({]", r"[\[({]") + _DOMAIN)
-_PHONE = re.compile(r"(?<![\w.,+-])(?:\+\d{1,3}[  .\-/]?|00\d{2}[  .\-/]?)?(?:\(\d{1,5}\)[  .\-/]?)?\d(?:[  .\-/]{0,2}\d){5,13}(?![\w])")
-_ID = re.compile(r"(?<![\w.+-])(?:\d{4}\.\d{2}\.\d{3}|\d{3}[ .]\d{3}[ .]\d{3}|\d{2} \d{3} \d{3} \d{3}|\d{3}[- ]\d{2}[- ]\d{4}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]{2}[A-Z0-9]\d[A-Z0-9]\d{4}|[A-Z]{2}[A-Z0-9]{6}\d|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9}|\d{11}|\d{13,15}|[A-Z]\d{7,8}|[CFGHJKLMNPRTVWXYZ0-9]{9})(?!\w|[.,-]\d)")
+_PHONE = re.compile(r"(?=[\d+(])(?<![\w.,+-])(?:\+\d{1,3}[  .\-/]?|00\d{2}[  .\-/]?)?(?:\(\d{1,5}\)[  .\-/]?)?\d(?:[  .\-/]{0,2}\d){5,13}(?![\w])")
+_ID = re.compile(r"(?=[\dA-Z])(?<![\w.+-])(?:\d{4}\.\d{2}\.\d{3}|\d{3}[ .]\d{3}[ .]\d{3}|\d{2} \d{3} \d{3} \d{3}|\d{3}[- ]\d{2}[- ]\d{4}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]{2}[A-Z0-9]\d[A-Z0-9]\d{4}|[A-Z]{2}[A-Z0-9]{6}\d|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9}|\d{11}|\d{13,15}|[A-Z]\d{7,8}|[CFGHJKLMNPRTVWXYZ0-9]{9})(?!\w|[.,-]\d)")
 _HOUSE = r"\d{1,4}(?:[  ]?(?:bis|ter|hs|huis)\b|[  ]?-[  ]?\d{1,3}\b|[  ]?[A-Za-z]\b(?!['’.])|\b)"
 _ADDRESS = re.compile(
-    f"(?<![\\w-])(?:(?:\\d{{1,2}}e[  ])?(?:(?:Korte|Lange|Oude|Nieuwe|Grote|Kleine|Eerste|Tweede|Prins|Prinses|Koning|Koningin|Sint|Burgemeester|Dokter|Professor|Meester)[  ])?[{_UP}][{_LOW}'’-]*?(?:straat|laan|weg|pad|hof|kade|singel|plein|gracht|dijk|steeg|dreef|park|markt|baan|kamp|wal|haven|plantsoen|erf|weide|veld|oever|pleintje|straße|strasse|str\\.|platz|allee|gasse|ufer|damm|steig|ring|graben)[  ]{_HOUSE}"
+    f"(?=[\\d{_UP}])(?<![\\w-])(?:(?:\\d{{1,2}}e[  ])?(?:(?:Korte|Lange|Oude|Nieuwe|Grote|Kleine|Eerste|Tweede|Prins|Prinses|Koning|Koningin|Sint|Burgemeester|Dokter|Professor|Meester)[  ])?[{_UP}][{_LOW}'’-]*?(?:straat|laan|weg|pad|hof|kade|singel|plein|gracht|dijk|steeg|dreef|park|markt|baan|kamp|wal|haven|plantsoen|erf|weide|veld|oever|pleintje|straße|strasse|str\\.|platz|allee|gasse|ufer|damm|steig|ring|graben)[  ]{_HOUSE}"
     f"|(?:Laan|Plein|Weg|Hof|Kade|Park|Singel)[  ]van[  ](?:de[  ]|het[  ])?[{_UP}][{_LOW}-]+[  ]{_HOUSE}"
     f"|(?:Aan de|Aan het|Aan den|Achter de|Achter het|Op de|Op het|Onder de|Langs de|Voor de|Boven de|Tussen de)[  ][{_UP}][{_LOW}-]+[  ]{_HOUSE}"
     f"|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Hinter der|Unter den)[  ](?:[{_UP}][{_LOW}]+[  ])?[{_UP}][{_LOW}-]+[  ]{_HOUSE}"
@@ -98,8 +99,17 @@ def candidates(text: str) -> list[tuple[str, int, int, list[int], str, bool]]:
     def line(start: int, end: int) -> int:
         return int((start == 0 or text[start - 1] == "\n") and (end == len(text) or text[end] == "\n"))
 
-    if _MAY_EMAIL.search(text):
-        for m in _EMAIL.finditer(text):
+    after = 0
+    for at in _MAY_EMAIL.finditer(text):
+        # An address begins where the run of its signs does that ends before "at".
+        begin = at.start()
+        if begin > 0 and not text[begin].isspace() and text[begin - 1].isspace():
+            begin -= 1
+        while begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        m = _EMAIL.match(text, begin) if begin >= after else None
+        if m:
+            after = m.end()
             spelt = int("@" in m.group() or bool(re.search(r"[\[({]|dot|punt|point|punkt", m.group())))
             out.append(("email", m.start(), m.end(), [1 if spelt else -1, 1, 0, 0, 0, 0, 0, 0], "", False))
             found.append((m.start(), m.end()))
