@@ -11,6 +11,7 @@ from lectern.operators import cutting as B
 from lectern.operators import episode as E
 from lectern.operators import folds as W
 from lectern.operators import planning as P
+from lectern.operators import review as R
 from lectern.operators import script as S
 from lectern.operators import sound as D
 from lectern.operators import transcript as N
@@ -93,6 +94,7 @@ QUERIES = {
     "script_phrase_plan": lambda spark, folder: E.phrase_plan(table(spark, folder, "script_lines")),
     "script_scene_coverage": lambda spark, folder: E.scene_coverage(table(spark, folder, "script_lines")),
     "script_reaction_coverage": lambda spark, folder: E.reaction_coverage(table(spark, folder, "script_lines"), table(spark, folder, "speakers")),
+    "script_previews": lambda spark, folder: R.previews(_lines(spark, folder), table(spark, folder, "speakers")),
     "script_rewrite_decision": lambda spark, folder: E.rewrite_decision(S.audit(_lines(spark, folder), table(spark, folder, "claims"), table(spark, folder, "speakers")), quality=True),
     "script_routed_findings": lambda spark, folder: E.routed_findings(S.coverage_rules(_lines(spark, folder), table(spark, folder, "claims")).unionByName(S.budget_rules(S.episode_stats(_lines(spark, folder), table(spark, folder, "speakers")))), _lines(spark, folder)),
     "script_overlap_over_terms": lambda spark, folder: S.overlap_over_terms(_lines(spark, folder).withColumn("mode", F.lit("backchannel")), table(spark, folder, "lexicon")),
@@ -147,6 +149,8 @@ select book_id, chapter_id, b as block_no, row_number() over (partition by book_
 t as (select book_id, chapter_id, claim_id, any_value(lower(claim)) as claim from claims where claim is not null group by 1, 2, 3)
 select book_id, chapter_id, term, min(block_no) as block_no from d join t using (book_id, chapter_id) join e using (book_id, chapter_id, claim_id) where contains(t.claim, term) group by 1, 2, 3""",
     "script_flat_segments": BASE + """select * from (select *, row_number() over (partition by book_id, episode_id, revision order by "overlaps", "lines" desc, seg_no) as place from (select book_id, episode_id, revision, seg_no, count(*) filter (mode <> 'none') as "overlaps", count(*) as "lines" from l where seg_type = 'body' group by 1, 2, 3, 4)) where place <= 3""",
+    "script_previews": BASE + """, f as (select *, row_number() over (partition by book_id, episode_id, revision, seg_no order by pos, line_id) as place from l)
+select book_id, episode_id, revision, seg_no, place, coalesce(name, speaker) as speaker_name, case when length(text) > 220 then substr(text, 1, 217) || '...' else text end as preview from f left join (select lower(id) as speaker, name from speakers) s using (speaker) where place <= 3""",
     "script_covers_resolved": BASE + """, x as (select book_id, episode_id, revision, line_id, unnest(list_distinct(covers)) as cover from l),
 y as (select *, case when contains(cover, ':') then split_part(cover, ':', 1) else episode_id end as chapter_id, case when contains(cover, ':') then split_part(cover, ':', 2) else cover end as claim_id from x)
 select y.book_id, y.episode_id, revision, line_id, cover, y.chapter_id, y.claim_id, k.claim_id is not null as known from y left join (select distinct book_id, chapter_id, claim_id from claims) k on y.book_id = k.book_id and y.chapter_id = k.chapter_id and y.claim_id = k.claim_id""",
