@@ -59,9 +59,7 @@ def _outline(spark, folder):
 
 
 def _complete(spark, folder):
-    # The quotes of the claims stand in as voice samples of the cast.
-    samples = table(spark, folder, "claims").select(F.col("span.quote").alias("text"))
-    return A.complete(_lines(spark, folder), _claims(spark, folder), table(spark, folder, "speakers"), table(spark, folder, "lexicon"), table(spark, folder, "sections"), _definitions(spark, folder).select("book_id", F.col("chapter_id").alias("episode_id"), "term"), samples)
+    return A.complete(_lines(spark, folder), _claims(spark, folder), table(spark, folder, "speakers"), table(spark, folder, "lexicon"), table(spark, folder, "sections"), _definitions(spark, folder).select("book_id", F.col("chapter_id").alias("episode_id"), "term"))
 
 
 def _names(spark, folder):
