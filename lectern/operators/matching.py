@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,8 @@ from lectern.functions import text as X
 NUMBER_WORDS = {"nul": "0", "een": "1", "twee": "2", "drie": "3", "vier": "4", "vijf": "5", "zes": "6", "zeven": "7", "acht": "8", "negen": "9", "tien": "10", "elf": "11", "twaalf": "12", "twintig": "20", "dertig": "30", "veertig": "40", "vijftig": "50", "honderd": "100", "duizend": "1000"}
 SOUNDS = {"eh", "uh", "hm", "mm"}
 SHINGLE_WORDS, SHINGLE_SIMILARITY = 5, 0.8
+#: Counters of shingles and bits of the filter of shared ones, as powers of two; more shingles than these share them, which costs time only.
+RARITY_BITS, SHARED_BITS = 24, 26
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -92,29 +98,136 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
 
 
-def near_duplicates(lines: DataFrame, similarity: float = SHINGLE_SIMILARITY) -> DataFrame:
-    """(key, copies, links): distinct keys of texts with their number of rows and of different keys whose five-word shingles overlap by the similarity.
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte: exact up to 127, then four steps for each doubling."""
+    return np.where(counts < 128, counts, np.minimum(255, 128 + 4 * np.log2(np.maximum(counts, 128) / 128))).astype(np.uint8)
+
 
-    Exact copies are one representative. Pairs are found by prefix filtering: with shingles in order of rarity, two sets of Jaccard
-    similarity s share one of the first n - ceil(s n) + 1 of each, so only rare shingles are joined; candidates are then compared in full.
+def _counted(sets: DataFrame, slices: int = 64) -> np.ndarray:
+    """How often each shingle is used, counted by its low bits in RARITY_BITS: never less than it is, more where shingles share a counter.
+
+    A task sends its counters compressed, slices are added up by the executors, and the driver gets a byte a counter.
+    """
+    width = (1 << RARITY_BITS) // slices
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slices * width, dtype=np.uint16)
+        for batch in batches:
+            used, n = np.unique(batch.column(0).flatten().to_numpy() & (slices * width - 1), return_counts=True)
+            counts[used] = np.minimum(counts[used] + n, 65535)
+        for k, part in enumerate(counts.reshape(slices, width)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, dtype=np.int64)
+        for counts in part["counts"]:
+            total += np.frombuffer(zlib.decompress(counts), dtype=np.uint16)
+        return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(_levels(total).tobytes(), 1)]})
+
+    schema = "slice int, counts binary"
+    out = np.zeros(slices * width, dtype=np.uint8)
+    for row in sets.select("set").mapInArrow(count, schema).groupBy("slice").applyInPandas(add, schema).toLocalIterator():
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint8)
+    return out
+
+
+def _marked(hashes: DataFrame, slices: int = 64) -> np.ndarray:
+    """Bits of SHARED_BITS, set for each hash of hashes(s): a filter that lets through every one of them and few others."""
+    width = (1 << SHARED_BITS) // slices
+
+    def mark(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, dtype=bool)
+        bits[part["at"].to_numpy()] = True
+        return pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    low = F.col("s").bitwiseAND(F.lit(slices * width - 1))
+    places = hashes.select(F.floor(low / width).cast("int").alias("slice"), (low % width).cast("int").alias("at"))
+    out = np.zeros(slices * width // 8, dtype=np.uint8)
+    for row in places.groupBy("slice").applyInPandas(mark, "slice int, bits binary").toLocalIterator():
+        out[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(zlib.decompress(bytes(row["bits"])), dtype=np.uint8)
+    return out
+
+
+def _prefixes(batch: pa.RecordBatch, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(row, shingle, level, set's size, place, whether in the prefix) of all shingles of a batch's sets, each set in the order of level and hash; the prefix is its first n - ceil(s n) + 1."""
+    sets = batch.column(batch.schema.get_field_index("set"))
+    values = sets.flatten().to_numpy()
+    n = np.diff(sets.offsets.to_numpy())
+    row = np.repeat(np.arange(len(n)), n)
+    level = levels[values & (len(levels) - 1)]
+    order = np.lexsort((values, level, row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    most = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    return row, values[order], level[order], n[row], place, place < most[row]
+
+
+def _digest(key: str | Column) -> Column:
+    return F.unhex(F.md5(key))
+
+
+def near_links(keys: DataFrame, similarity: float = SHINGLE_SIMILARITY) -> DataFrame:
+    """(id, links): for keys(key), flat texts in any number of copies, the MD5 digest of each that has links and how many different keys its five-word shingles overlap with by the similarity.
+
+    Pairs are found by prefix filtering: with shingles in one order, two sets of Jaccard similarity s share one of the first
+    n - ceil(s n) + 1 of each. Any order gives the same pairs; by rarity there are few candidates, so shingles are ordered by counts that are
+    kept in a fixed number of counters. Three passes over the texts, which are never shuffled: the counts; the prefixes' shingles with size
+    and place, which bound what two texts can have in common; the sets, sent once for each shingle by which the bound is met. A pair is compared where its first common shingle is,
+    so that pairs are neither stored nor made distinct.
     """
-    keyed = lines.select(X.flat(F.col("text")).alias("key")).where("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    words = F.split("key", " ")
-    last = F.greatest(F.size("w") - SHINGLE_WORDS, F.lit(0))
+    spark = keys.sparkSession
+    last = F.size("w") - SHINGLE_WORDS
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, SHINGLE_WORDS), " "))))
-    sets = keyed.withColumn("w", words).where(F.size("w") >= SHINGLE_WORDS).select("key", shingles.alias("set"))
-    uses = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    ordered = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("s")).join(uses, "s")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("uses", "s"))
-    unique = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key"))
-    prefix = ordered.withColumn("place", nth + unique).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("key", "s", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near_size = (F.col("a.n") >= similarity * F.col("b.n") - 1e-9) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-9)
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.key") < F.col("b.key")) & near_size).select(F.col("a.key").alias("k1"), F.col("b.key").alias("k2")).distinct()
-    full = pairs.join(sets.select(F.col("key").alias("k1"), F.col("set").alias("s1")), "k1").join(sets.select(F.col("key").alias("k2"), F.col("set").alias("s2")), "k2")
-    shared = F.size(F.array_intersect("s1", "s2"))
-    linked = full.where(shared >= similarity * (F.size("s1") + F.size("s2") - shared) - 1e-9).select(F.explode(F.array("k1", "k2")).alias("key"))
-    return keyed.join(linked.groupBy("key").agg(F.count(F.lit(1)).alias("links")), "key", "left").na.fill(0, ["links"])
+    sets = keys.select("key", F.split("key", " ").alias("w")).where(F.size("w") >= SHINGLE_WORDS).select("key", shingles.alias("set"))
+    levels = spark.sparkContext.broadcast(_counted(sets))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, s, level, n, place, inside = _prefixes(batch, levels.value, similarity)
+            inside &= level > 1  # a shingle that was counted once is in one text only
+            yield pa.RecordBatch.from_pydict({"s": s[inside], "text": batch.column(0).to_numpy()[row[inside]], "n": n[inside].astype(np.int32), "place": place[inside].astype(np.int32)})
+
+    hashed = sets.select(F.xxhash64("key").alias("text"), "set")
+    first = hashed.mapInArrow(heads, "s long, text long, n int, place int").repartition("s").distinct()
+    a, b = first.alias("a"), first.hint("merge").alias("b")
+    total = F.col("a.n") + F.col("b.n")
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"), "a.n", "b.n")  # in common, if s is the first
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.text") < F.col("b.text")) & (most * (1 + similarity) >= similarity * total - 1e-9))
+    bits = spark.sparkContext.broadcast(_marked(pairs.select("a.s", F.explode(F.array("a.text", "b.text")).alias("text")).select(F.col("s").bitwiseXOR(F.col("text")).alias("s"))))
+
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, s, _, _, _, inside = _prefixes(batch, levels.value, similarity)
+            low = (s ^ batch.column(1).to_numpy()[row]) & (8 * len(bits.value) - 1)
+            inside &= (bits.value[low >> 3] >> (7 - (low & 7)) & 1).astype(bool)
+            ordered = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32), pa.array(s))
+            at = pa.array(row[inside])
+            for k in range(0, len(at), 10_000):
+                part = at.slice(k, 10_000)
+                yield pa.RecordBatch.from_pydict({"s": s[inside][k : k + 10_000], "id": batch.column(0).take(part), "set": ordered.take(part)})
+
+    entries = sets.select(_digest("key").alias("id"), F.xxhash64("key").alias("text"), "set").mapInArrow(owners, "s long, id binary, set array<long>").repartition("s").dropDuplicates(["s", "id"])
+    a, b = entries.alias("a"), entries.hint("merge").alias("b")
+    n, m = F.size("a.set"), F.size("b.set")
+    ahead = (F.col("a.id") < F.col("b.id")) & (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)
+    near = a.join(b, F.col("a.s") == F.col("b.s")).select("a.s", F.col("a.id").alias("x"), F.col("b.id").alias("y"), (n + m).alias("sum"), F.when(ahead, F.array_intersect("a.set", "b.set")).alias("both"))
+    linked = near.where((F.get("both", F.lit(0)) == F.col("s")) & (F.size("both") >= similarity * (F.col("sum") - F.size("both")) - 1e-9))
+    return linked.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+
+
+def near_duplicates(lines: DataFrame, similarity: float = SHINGLE_SIMILARITY) -> DataFrame:
+    """(key, copies, links): distinct keys of texts with their number of rows and of different keys that are near_links."""
+    keys = lines.select(X.flat(F.col("text")).alias("key")).where("key <> ''")
+    keyed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).withColumn("id", _digest("key"))
+    return keyed.join(near_links(keys, similarity), "id", "left").select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicate_digests(raw: DataFrame, key: list[str], similarity: float = SHINGLE_SIMILARITY) -> DataFrame:
+    """``near_duplicates`` of raw(*key, text), repeated rows once, with the keys' MD5 digests in hexadecimal: only digests are shuffled, no texts."""
+    flat = raw.select(*key, X.flat(F.col("text")).alias("key")).where("key <> ''")
+    once = flat.select(*key, _digest("key").alias("id")).repartition("id").distinct()
+    keyed = once.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    return keyed.join(near_links(flat.select("key"), similarity), "id", "left").select(F.lower(F.hex("id")).alias("key"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def revision_word_errors(lines: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ QUERIES = {
     "lexicon_applied": _applied,
     "lexicon_candidates": _sections(lambda s: L.candidates(D.texts_once(s)).groupBy("kind", "form").agg(F.count(F.lit(1)).alias("sections"))),
     "script_content_keys": _hashes,
-    "script_near_duplicates": lambda spark, folder: M.near_duplicates(S.script_lines(table(spark, folder, "script_lines"))).select(F.md5("key").alias("key"), "copies", "links"),
+    "script_near_duplicates": lambda spark, folder: M.near_duplicate_digests(table(spark, folder, "script_lines"), [*S.EPISODE, "line_id"]),
     "script_revision_word_errors": lambda spark, folder: M.revision_word_errors(S.script_lines(table(spark, folder, "script_lines")).where("text is not null")),
     "takes_chosen": lambda spark, folder: M.chosen_takes(_takes(spark, folder)),
     "clips_levels": _clips(G.clip_levels),

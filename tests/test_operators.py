@@ -1,5 +1,6 @@
 """Operators on literal cases: nulls, empty and repeated rows, ties, order, and plain-Python versions of the folds."""
 
+import hashlib
 import json
 import math
 import random
@@ -21,6 +22,7 @@ from lectern.operators import signal as G
 from lectern.operators import structure as D
 from lectern.operators import telemetry as T
 from lectern.operators import transcript as N
+from lectern.plans.text_queries import QUERIES as Q
 from lectern.sources import files
 from lectern.streaming import events as V
 
@@ -131,6 +133,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and sum(want.values()) > 0
 
 
+def test_near_duplicate_digests_shuffle_no_text(spark, monkeypatch):
+    """Whatever the counters hold, and with repeated rows, copies and families, the links are those of brute force; texts stay where they are read."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choice("ab cd ef gh ij".split()) + str(rng.randint(0, 5)) for _ in range(rng.randint(4, 40))) for _ in range(60)]
+    texts = base + [t + " eind" for t in base] + [t + " eind nu" for t in base[:20]] + base[:9] + ["kort", "", None, base[0].upper() + "!"]
+    rows = [("b", "e", 1, f"l{k}", t) for k, t in enumerate(texts)]
+    raw_ = spark.createDataFrame(rows + rows[:30], "book_id string, episode_id string, revision int, line_id string, text string")
+    flat = [t.lower().rstrip("!") for t in texts if t]
+    sets = {k: {tuple(k.split()[i : i + 5]) for i in range(len(k.split()) - 4)} for k in flat}
+    links = {k: sum(1 for o in sets if o != k and sets[k] and sets[o] and len(sets[k] & sets[o]) >= 0.8 * len(sets[k] | sets[o])) for k in sets}
+    want = {hashlib.md5(k.encode()).hexdigest(): (flat.count(k), links[k]) for k in sets}
+    for bits in (6, 16):
+        monkeypatch.setattr(M, "RARITY_BITS", bits)
+        monkeypatch.setattr(M, "SHARED_BITS", bits + 3)
+        df = M.near_duplicate_digests(raw_, [*S.EPISODE, "line_id"])
+        assert {r["key"]: (r["copies"], r["links"]) for r in df.collect()} == want
+    assert max(n for _, n in want.values()) > 1
+    plan = Q["script_near_duplicates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    sent = [x for x in plan.splitlines() if "Aggregate [" in x or "Join " in x or "RepartitionBy" in x]
+    assert sent and not any("text#" in x or "key#" in x for x in sent)
+
+
 def test_takes(spark):
     takes = spark.createDataFrame([(1, 1, 0.0, 9.0, 10.0), (1, 2, None, 10.5, 10.0), (1, 3, 0.4, 10.0, 10.0), (2, 1, 0.5, 1.0, 1.0), (2, 2, 0.2, 9.0, 1.0)], "turn int, take int, wer double, duration double, target double")
     assert [(r["turn"], r["take"], r["flagged"]) for r in M.chosen_takes(takes).orderBy("turn").collect()] == [(1, 2, False), (2, 2, True)]
