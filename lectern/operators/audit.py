@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from lectern.operators import script as S
 from lectern.operators import transcript as N
 from lectern.session import kept
 
+#: Rules that are planned and run together.
+RULES_AT_ONCE = 4
+
 
 def vocabulary(sections: DataFrame, claims: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(book_id, word): what a book's script may say because its sections, claims or lexicon do."""
@@ -23,14 +28,18 @@ def complete(
     """claims: ``planning.claims_once``. Rules whose table isn't given (definitions, voice samples, segments) have no findings."""
     lines = kept(lines.repartition(*S.EPISODE).sortWithinPartitions(*S.EPISODE, "pos", "line_id"))
     plan = claims.select("book_id", "chapter_id", "claim_id", F.col("relevance").alias("exam_relevance"))
-    out = S.full_audit(lines, plan, speakers, definitions)
+    parts = [*S.audit_parts(lines, plan, speakers), S.pattern_rules(lines)]
+    if definitions is not None:
+        parts.append(S.definition_recital(lines, definitions))
     early = S.found(N.early_terms(lines, claims, speakers), "term_before_intro", "warning", claim="term")
     unknown = S.found(N.unknown_words_by_episode(lines, vocabulary(sections, claims, lexicon)), "unknown_word", "warning", claim="word")
-    for part in (W.near_duplicate_lines(lines), K.source_copy(lines, claims), S.overlap_over_terms(lines, lexicon), early, unknown):
-        out = out.unionByName(part)
+    parts += [W.near_duplicate_lines(lines), K.source_copy(lines, claims), S.overlap_over_terms(lines, lexicon), early, unknown]
     if samples is not None:
-        out = out.unionByName(K.sample_copy(lines, samples))
+        parts.append(K.sample_copy(lines, samples))
     if segments is not None:
-        out = out.unionByName(S.empty_rules(lines, segments))
+        parts.append(S.empty_rules(lines, segments))
+    # One plan of all rules is more than a small driver holds: a few rules at a time are run and only their findings kept.
+    groups = [reduce(DataFrame.unionByName, parts[k : k + RULES_AT_ONCE]) for k in range(0, len(parts), RULES_AT_ONCE)]
+    out = reduce(DataFrame.unionByName, [kept(group) for group in groups])
     # A line can break the rule on overlapped content by its text and by a term.
     return out.distinct()

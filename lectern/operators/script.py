@@ -270,15 +270,19 @@ def flat_reaction(lines: DataFrame) -> DataFrame:
     return found(rate.where("n >= 4 and tagged / n < 0.3"), "flat_emotional_reaction", "warning")
 
 
-def audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> DataFrame:
-    """All rules as one list of findings. The lines are kept once, by episode and in order, so that no rule sorts or shuffles them anew."""
-    lines = kept(lines.repartition(*EPISODE).sortWithinPartitions(*EPISODE, "pos", "line_id"))
-    parts = [
+def audit_parts(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> list[DataFrame]:
+    """The rules of ``audit``, each as its own findings."""
+    return [
         frame_rules(lines), cast_rules(lines, speakers), overlap_rules(lines), coverage_rules(lines, claims), phrase_rule(lines), tic_leak(lines, speakers), tic_overuse(lines, speakers),
         repeated_opening(lines), duplicate_lines(lines), formula_rules(lines), retelling_rules(lines, speakers), speakable_rules(lines), telegraphic(lines), budget_rules(episode_stats(lines, speakers)), flat_reaction(lines),
     ]
-    out = parts[0]
-    for part in parts[1:]:
+
+
+def audit(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> DataFrame:
+    """All rules as one list of findings. The lines are kept once, by episode and in order, so that no rule sorts or shuffles them anew."""
+    lines = kept(lines.repartition(*EPISODE).sortWithinPartitions(*EPISODE, "pos", "line_id"))
+    out, *rest = audit_parts(lines, claims, speakers)
+    for part in rest:
         out = out.unionByName(part)
     return out
 
