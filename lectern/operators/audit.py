@@ -11,10 +11,12 @@ from lectern.operators import copies as K
 from lectern.operators import folds as W
 from lectern.operators import script as S
 from lectern.operators import transcript as N
-from lectern.session import kept
+from lectern.session import settled
 
 #: Rules that are planned and run together.
 RULES_AT_ONCE = 4
+#: The lines of an episode's revisions lie together.
+CHAPTER = ["book_id", "episode_id"]
 
 
 def vocabulary(sections: DataFrame, claims: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -25,8 +27,13 @@ def vocabulary(sections: DataFrame, claims: DataFrame, lexicon: DataFrame) -> Da
 def complete(
     lines: DataFrame, claims: DataFrame, speakers: DataFrame, lexicon: DataFrame, sections: DataFrame, definitions: DataFrame | None = None, samples: DataFrame | None = None, segments: DataFrame | None = None
 ) -> DataFrame:
-    """claims: ``planning.claims_once``. Rules whose table isn't given (definitions, voice samples, segments) have no findings."""
-    lines = kept(lines.repartition(*S.EPISODE).sortWithinPartitions(*S.EPISODE, "pos", "line_id"))
+    """claims: ``planning.claims_once``. Rules whose table isn't given (definitions, voice samples, segments) have no findings.
+
+    Lines that were partitioned by CHAPTER before they were made unique are shuffled no more than that once: they are kept with
+    their partitioning, which most rules stay within.
+    """
+    lines = settled(lines.sortWithinPartitions(*S.EPISODE, "pos", "line_id"), placed=True)
+    claims = settled(claims)
     plan = claims.select("book_id", "chapter_id", "claim_id", F.col("relevance").alias("exam_relevance"))
     parts = [*S.audit_parts(lines, plan, speakers), S.pattern_rules(lines)]
     if definitions is not None:
@@ -39,7 +46,8 @@ def complete(
     if segments is not None:
         parts.append(S.empty_rules(lines, segments))
     # One plan of all rules is more than a small driver holds: a few rules at a time are run and only their findings kept.
-    groups = [reduce(DataFrame.unionByName, parts[k : k + RULES_AT_ONCE]) for k in range(0, len(parts), RULES_AT_ONCE)]
-    out = reduce(DataFrame.unionByName, [kept(group) for group in groups])
-    # A line can break the rule on overlapped content by its text and by a term.
-    return out.distinct()
+    groups = [reduce(DataFrame.unionByName, [part.distinct() for part in parts[k : k + RULES_AT_ONCE]]) for k in range(0, len(parts), RULES_AT_ONCE)]
+    out = reduce(DataFrame.unionByName, [settled(group) for group in groups])
+    # Findings of one part are distinct where they are found; a line can break the rule on overlapped content in two, by its text and by a term.
+    twice = F.col("rule") == "overlap_over_content"
+    return out.where(~twice).unionByName(out.where(twice).distinct())

@@ -212,21 +212,23 @@ def unwritten_gaps(placed: DataFrame, most: float = 1.2) -> DataFrame:
     return moving.where((F.col("gap_s") > most) & (F.col("gap_s") > F.col("deliberate_s") + F.col("pause_s") + UNWRITTEN_SLACK)).select(*EPISODE, "turn_no", "gap_s")
 
 
-def _grams(text: str) -> np.ndarray:
-    """Number of the text's three-character pieces in each of GRAM_BUCKETS buckets."""
+def _grams(text: str, size: int = 3) -> np.ndarray:
+    """Number of the text's pieces of size (two or three) characters in each of GRAM_BUCKETS buckets."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if size == 2:
+        return np.bincount((c[:-1] * 31 + c[1:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
     return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
 
 
-def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray, ratio: float = REPEAT_RATIO, spread: float = REPEAT_LENGTH) -> np.ndarray:
+def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray, ratio: float = REPEAT_RATIO, spread: float = REPEAT_LENGTH, size: int = 3) -> np.ndarray:
     """Places of the kept texts that can reach the ratio and whose length differs by less than spread of n; none that does is missed.
 
-    A text of n characters with c of them in common with one of m keeps all but 3 (n - c) + 2 (m - c) of its n - 2 pieces. Pieces
-    that share a bucket only raise the count.
+    A text of n characters with c of them in common with one of m keeps all but 3 (n - c) + 2 (m - c) of its n - 2 pieces of three,
+    all but 2 (n - c) + (m - c) of its n - 1 pieces of two. Pieces that share a bucket only raise the count.
     """
     near = np.flatnonzero(np.abs(lengths - n) < spread * n)
     common = np.ceil(ratio / 200 * (lengths[near] + n) - 1e-6)
-    least = n - 2 - 3 * (n - common) - 2 * (lengths[near] - common)
+    least = n - (size - 1) - size * (n - common) - (size - 1) * (lengths[near] - common)
     shared = np.concatenate([np.minimum(kept[near[i : i + 4096]], grams).sum(axis=1) for i in range(0, len(near), 4096)] or [np.zeros(0)])
     return near[(common <= np.minimum(lengths[near], n)) & (shared >= least)]
 
@@ -266,8 +268,8 @@ def kept_paragraphs(paras: DataFrame) -> DataFrame:
 def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0) -> DataFrame:
     """near_duplicate: a line outside quiz and recap that says nearly the same, in other characters, as an earlier one of its episode; claim_id is the first such line.
 
-    Every earlier line is compared that can reach the ratio by length and three-character pieces, so none is missed; lines of equal
-    text are compared once.
+    Every earlier line is compared that can reach the ratio by length and by pieces of three and of two characters, so none is missed;
+    lines of equal text are compared once.
     """
     flat = lines.where(~F.col("seg_type").isin("quiz", "recap")).select(*EPISODE, "pos", "line_id", X.flat(F.col("text")).alias("flat"))
 
@@ -276,7 +278,7 @@ def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0)
         known: dict[str, int] = {}
         ids: list[str] = []
         twins: dict[str, str | None] = {}
-        lengths, grams = np.zeros(64, dtype=np.int64), np.zeros((64, GRAM_BUCKETS), dtype=np.int32)
+        lengths, grams, pairs = np.zeros(64, dtype=np.int64), np.zeros((64, GRAM_BUCKETS), dtype=np.int32), np.zeros((64, GRAM_BUCKETS), dtype=np.int32)
         texts: list[str] = []
         found = []
         for text, line_id in zip(part["flat"], part["line_id"]):
@@ -284,9 +286,10 @@ def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0)
             if text in known and twins[text] is not None:
                 found.append((line_id, twins[text]))
                 continue
-            own = _grams(text)
+            own, own_pairs = _grams(text), _grams(text, 2)
             later = known.get(text, -1) + 1  # an equal text was compared with those before it
             near = _may_repeat(len(text), own, lengths[:k], grams[:k], ratio, 1.0)
+            near = near[_may_repeat(len(text), own_pairs, lengths[near], pairs[near], ratio, 1.0, 2)]
             twin = next((ids[i] for i in sorted(near) if i >= later and texts[i] != text and indel_ratio(texts[i], text) >= ratio), None)
             twins[text] = twin
             if twin is not None:
@@ -294,8 +297,8 @@ def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0)
             if text not in known:
                 known[text] = k
                 if k == len(lengths):
-                    lengths, grams = np.concatenate([lengths, np.zeros_like(lengths)]), np.concatenate([grams, np.zeros_like(grams)])
-                lengths[k], grams[k] = len(text), own
+                    lengths, grams, pairs = (np.concatenate([x, np.zeros_like(x)]) for x in (lengths, grams, pairs))
+                lengths[k], grams[k], pairs[k] = len(text), own, own_pairs
                 texts.append(text)
                 ids.append(line_id)
         key = part.iloc[0] if len(part) else None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.script import CHARS_PER_SECOND, EPISODE, SECONDS_PER_LINE
+from lectern.session import settled
 
 #: Share of a line's time in which words are spoken, and the silent share before them.
 VOICED, LEAD = 0.9, 0.05
@@ -58,8 +59,11 @@ def early_terms(lines: DataFrame, claims: DataFrame, speakers: DataFrame) -> Dat
     name = "[\\p{Ll},] (\\p{Lu}\\p{Ll}{3,})"
     cast = speakers.select(F.lower("name").alias("term"))
     terms = claims.select("book_id", F.col("chapter_id").alias("episode_id"), F.explode(F.regexp_extract_all("claim", F.lit(name), F.lit(1))).alias("name")).select("book_id", "episode_id", F.lower("name").alias("term")).distinct().join(cast, "term", "left_anti")
-    said = lines.select(*EPISODE, "pos", "speaker", "seg_type", "line_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1)))).alias("term"))
-    first = said.join(terms, ["book_id", "episode_id", "term"]).withColumn("nth", F.row_number().over(Window.partitionBy(*EPISODE, "term").orderBy("pos", "line_id"))).where("nth = 1")
+    names = terms.groupBy("book_id", "episode_id").agg(F.collect_set("term").alias("names"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+    # The few names of a chapter meet its lines as one array, so that no word is shuffled; of explode_outer see script.phrase_rule.
+    said = lines.select(*EPISODE, "pos", "speaker", "seg_type", "line_id", "text").join(names, ["book_id", "episode_id"]).select(*EPISODE, "pos", "speaker", "seg_type", "line_id", F.explode_outer(F.array_intersect(words, "names")).alias("term")).where("term is not null")
+    first = said.withColumn("nth", F.row_number().over(Window.partitionBy(*EPISODE, "term").orderBy("pos", "line_id"))).where("nth = 1")
     skeptic = speakers.where("role = 'skeptic'").select(F.lower("id").alias("speaker")).distinct()
     return first.where("seg_type <> 'quiz'").join(skeptic, "speaker", "left_semi").select(*EPISODE, "line_id", "term")
 
@@ -72,7 +76,7 @@ _SPOKEN = "([\\p{L}]+(?:['’][\\p{L}]+)*)"
 
 def spoken_vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(book_id, word): the words of a text column."""
-    return df.where(F.col(column).isNotNull()).select("book_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(_SPOKEN), F.lit(1)))).alias("word")).distinct()
+    return df.where(F.col(column).isNotNull()).select("book_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(_SPOKEN), F.lit(1)))).alias("word")).where("word is not null").distinct()
 
 
 def _splits(words: DataFrame) -> DataFrame:
@@ -85,19 +89,22 @@ def _splits(words: DataFrame) -> DataFrame:
 
 def unknown_words_by_episode(lines: DataFrame, known: DataFrame) -> DataFrame:
     """(episode, word, line_id): words said in an episode that known(book_id, word) doesn't hold, nor as a compound of up to three of
-    its words with a link between; each once an episode, with its first line. Short words, words in capitals and names are left alone."""
-    names = "(?<=[^.!?:…—\"'“‘\\s]\\s{1,3})\\p{Lu}[\\p{L}'’]*"
-    bare = F.regexp_replace(F.regexp_replace("text", names, " "), "(?<![\\p{L}'’])\\p{Lu}{2,}(?![\\p{L}'’])", " ")
-    said = lines.where("text is not null").select(*EPISODE, "pos", "line_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_SPOKEN), F.lit(1)))).alias("word")).where(F.length("word") >= LEAST_LETTERS)
-    first = said.groupBy(*EPISODE, "word").agg(F.min_by("line_id", F.struct("pos", "line_id")).alias("line_id"))
-    given = known.select("book_id", "word").distinct()
-    unknown = first.select("book_id", "word").distinct().where(~F.col("word").isin(*WORD_SOUNDS)).join(given, ["book_id", "word"], "left_anti")
+    its words with a link between; each once an episode, with its first line. Short words, words in capitals and names are left alone.
+
+    Words said, known words and what is unknown are kept, as each is read several times. A pattern that looks back is only tried at a capital.
+    """
+    names = "(?=\\p{Lu})(?<=[^.!?:…—\"'“‘\\s]\\s{1,3})\\p{Lu}[\\p{L}'’]*"
+    bare = F.regexp_replace(F.regexp_replace("text", names, " "), "(?=\\p{Lu})(?<![\\p{L}'’])\\p{Lu}{2,}(?![\\p{L}'’])", " ")
+    said = lines.where("text is not null").select(*EPISODE, "pos", "line_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_SPOKEN), F.lit(1)))).alias("word")).where(F.length("word") >= LEAST_LETTERS)
+    first = settled(said.groupBy(*EPISODE, "word").agg(F.min_by("line_id", F.struct("pos", "line_id")).alias("line_id")), placed=True)
+    given = settled(known.select("book_id", "word").distinct(), placed=True)
+    unknown = settled(first.select("book_id", "word").distinct().where(~F.col("word").isin(*WORD_SOUNDS)).join(given, ["book_id", "word"], "left_anti"), placed=True)
     heads = given.select("book_id", F.col("word").alias("head"))
     rests = given.select("book_id", F.col("word").alias("rest"))
-    cut = _splits(unknown).join(heads, ["book_id", "head"], "left_semi")
+    cut = settled(_splits(unknown).join(heads, ["book_id", "head"], "left_semi"))
     two = cut.join(rests, ["book_id", "rest"], "left_semi")
     inner = _splits(cut.select("book_id", F.col("rest").alias("word")).distinct()).join(heads, ["book_id", "head"], "left_semi").join(rests, ["book_id", "rest"], "left_semi").select("book_id", F.col("word").alias("rest")).distinct()
     three = cut.join(inner, ["book_id", "rest"], "left_semi")
     compounds = two.unionByName(three).select("book_id", "word").distinct()
-    left = unknown.join(compounds, ["book_id", "word"], "left_anti")
+    left = settled(unknown.join(compounds, ["book_id", "word"], "left_anti"))
     return first.join(left, ["book_id", "word"], "left_semi").select(*EPISODE, "word", "line_id")

@@ -59,7 +59,8 @@ def _outline(spark, folder):
 
 
 def _complete(spark, folder):
-    return A.complete(_lines(spark, folder), _claims(spark, folder), table(spark, folder, "speakers"), table(spark, folder, "lexicon"), table(spark, folder, "sections"), _definitions(spark, folder).select("book_id", F.col("chapter_id").alias("episode_id"), "term"))
+    lines = S.script_lines(table(spark, folder, "script_lines").repartition(*A.CHAPTER))
+    return A.complete(lines, _claims(spark, folder), table(spark, folder, "speakers"), table(spark, folder, "lexicon"), table(spark, folder, "sections"), _definitions(spark, folder).select("book_id", F.col("chapter_id").alias("episode_id"), "term"))
 
 
 def _names(spark, folder):

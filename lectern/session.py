@@ -65,6 +65,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, placed: bool = False) -> DataFrame:
+    """kept(), and the shuffle files that were written for it go at once instead of when the driver happens to collect its garbage.
+
+    placed: the partitioning of df is known to its readers, so that what is done within it isn't shuffled again; an adaptive plan
+    doesn't tell its own, so df is run as it is first planned.
+    """
+    spark = df.sparkSession
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.adaptive.enabled": "false"} if placed else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        return kept(df.select("*"))  # a query follows the settings of the moment when it is made
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def sized_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df as a join's side: broadcast if it was counted and has at most ``most`` rows, else merge-joined, which has no size limit.
 

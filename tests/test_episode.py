@@ -1,12 +1,14 @@
 """Timelines, blocks, parts, outlines, cutting, cues and copies: literal cases and plain simulations."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import cues as C
+from lectern.operators import audit as A
 from lectern.operators import copies as K
 from lectern.operators import cutting as B
 from lectern.operators import episode as E
@@ -14,6 +16,8 @@ from lectern.operators import folds as W
 from lectern.operators import matching as M
 from lectern.operators import script as S
 from lectern.operators import transcript as N
+from lectern.plans import episode_queries as Q
+from lectern.sources.tables import table
 
 TURN = "book_id string, episode_id string, revision int, turn_no long, speaker string, seg_no int, mode string, target string, cut_word string, line_ids array<string>, tags array<string>, reaction string, text string, pause_s double, duration_s double, timing_gap_s double, words array<struct<word: string, start_s: double>>"
 
@@ -208,3 +212,26 @@ def test_people(spark):
     raws = spark.createDataFrame([("WENDE",), ("Wendee",), ("gast ",), ("wie?",), (None,)], "raw string")
     assert {r["raw"]: r["speaker"] for r in E.resolved_speakers(raws, cast).collect()} == {"WENDE": "wende", "Wendee": "wende", "gast ": "g1", "wie?": "g1", None: "g1"}
     assert E.assign_misconceptions(["zand is klei", "water is nat"], [["klei is geen zand"], ["niets"], ["water is altijd nat"]]) == [(0, 0, pytest.approx(E.token_set_ratio("zand is klei", "klei is geen zand"))), (1, 2, 100.0)]
+
+
+def test_complete_audit_in_steps(spark, folder):
+    """The findings of every rule by itself, each once; lines are partitioned once and no shuffle is left of a step that is done."""
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in held.split("\n") if "/shuffle_" in f}
+
+    before = files()
+    got = Q._complete(spark, folder)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not files() - before
+    got = [tuple(r) for r in got.collect()]
+    lines, claims, speakers, lexicon, sections = Q._lines(spark, folder), Q._claims(spark, folder), *(table(spark, folder, x) for x in ("speakers", "lexicon", "sections"))
+    alone = S.full_audit(lines, claims.withColumnRenamed("relevance", "exam_relevance"), speakers, Q._definitions(spark, folder).withColumnRenamed("chapter_id", "episode_id"))
+    alone = alone.unionByName(W.near_duplicate_lines(lines)).unionByName(K.source_copy(lines, claims)).unionByName(S.overlap_over_terms(lines, lexicon))
+    want = {tuple(r) for r in alone.collect()}
+    want |= {(*r[:3], "term_before_intro", "warning", r["line_id"], r["term"]) for r in N.early_terms(lines, claims, speakers).collect()}
+    want |= {(*r[:3], "unknown_word", "warning", r["line_id"], r["word"]) for r in N.unknown_words_by_episode(lines, A.vocabulary(sections, claims, lexicon)).collect()}
+    assert len(got) == len(set(got)) > 100 and set(got) == want
