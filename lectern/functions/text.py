@@ -40,8 +40,9 @@ def word_count(text: Column) -> Column:
 
 
 def opening(text: Column, n: int = 2) -> Column:
-    """First n words in lower case."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.lower(text), F.lit("(\\p{L}+)"), F.lit(1)), 1, n), " ")
+    """First n words in lower case; what follows them isn't looked at."""
+    head = F.regexp_extract(F.lower(text), f"^(?:[^\\p{{L}}]*+\\p{{L}}++){{0,{n}}}", 0)
+    return F.array_join(F.slice(F.regexp_extract_all(head, F.lit("(\\p{L}+)"), F.lit(1)), 1, n), " ")
 
 
 def sentence_lengths(text: Column) -> Column:

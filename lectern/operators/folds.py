@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,19 +213,32 @@ def unwritten_gaps(placed: DataFrame, most: float = 1.2) -> DataFrame:
     return moving.where((F.col("gap_s") > most) & (F.col("gap_s") > F.col("deliberate_s") + F.col("pause_s") + UNWRITTEN_SLACK)).select(*EPISODE, "turn_no", "gap_s")
 
 
-def _grams(text: str, size: int = 3) -> np.ndarray:
-    """Number of the text's pieces of size (two or three) characters in each of GRAM_BUCKETS buckets."""
+def _grams(text: str) -> np.ndarray:
+    """Number of the text's three-character pieces in each of GRAM_BUCKETS buckets."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    if size == 2:
-        return np.bincount((c[:-1] * 31 + c[1:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
     return np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % GRAM_BUCKETS, minlength=GRAM_BUCKETS).astype(np.int32)
 
 
+def _pieces(texts: list[str], size: int) -> np.ndarray:
+    """Number of pieces of ``size`` characters in each of GRAM_BUCKETS buckets, a row a text; 4096 texts at a time."""
+    rows = []
+    for i in range(0, len(texts), 4096):
+        some = texts[i : i + 4096]
+        c = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(some)), list(map(len, some)))
+        n = max(0, len(c) - size + 1)
+        bucket = sum(c[k : k + n] * 31 ** (size - 1 - k) for k in range(size)) % GRAM_BUCKETS
+        whole = own[:n] == own[size - 1 :]
+        rows.append(np.bincount((own[:n] * GRAM_BUCKETS + bucket)[whole], minlength=len(some) * GRAM_BUCKETS).reshape(-1, GRAM_BUCKETS).astype(np.int32))
+    return np.concatenate(rows or [np.zeros((0, GRAM_BUCKETS), dtype=np.int32)])
+
+
 def _may_repeat(n: int, grams: np.ndarray, lengths: np.ndarray, kept: np.ndarray, ratio: float = REPEAT_RATIO, spread: float = REPEAT_LENGTH, size: int = 3) -> np.ndarray:
     """Places of the kept texts that can reach the ratio and whose length differs by less than spread of n; none that does is missed.
 
     A text of n characters with c of them in common with one of m keeps all but 3 (n - c) + 2 (m - c) of its n - 2 pieces of three,
-    all but 2 (n - c) + (m - c) of its n - 1 pieces of two. Pieces that share a bucket only raise the count.
+    all but 2 (n - c) + (m - c) of its n - 1 pieces of two and all but n - c of its characters. Pieces that share a bucket only raise
+    the count.
     """
     near = np.flatnonzero(np.abs(lengths - n) < spread * n)
     common = np.ceil(ratio / 200 * (lengths[near] + n) - 1e-6)
@@ -268,40 +282,37 @@ def kept_paragraphs(paras: DataFrame) -> DataFrame:
 def near_duplicate_lines(lines: DataFrame, least: int = 60, ratio: float = 85.0) -> DataFrame:
     """near_duplicate: a line outside quiz and recap that says nearly the same, in other characters, as an earlier one of its episode; claim_id is the first such line.
 
-    Every earlier line is compared that can reach the ratio by length and by pieces of three and of two characters, so none is missed;
-    lines of equal text are compared once.
+    Every earlier line is compared that can reach the ratio by length and by pieces of three, one and two characters, so none is missed; lines of equal text are compared once.
     """
     flat = lines.where(~F.col("seg_type").isin("quiz", "recap")).select(*EPISODE, "pos", "line_id", X.flat(F.col("text")).alias("flat"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos", "line_id"])
-        known: dict[str, int] = {}
-        ids: list[str] = []
+    schema = pa.schema([(c, pa.int32() if c == "revision" else pa.string()) for c in (*EPISODE, "rule", "severity", "line_id", "claim_id")])
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("pos", "ascending"), ("line_id", "ascending")])
+        said = part["flat"].to_pylist()
+        texts = list(dict.fromkeys(said))
+        number = {text: i for i, text in enumerate(texts)}
+        ids: list[str] = []  # of the first line of each text that was met
         twins: dict[str, str | None] = {}
-        lengths, grams, pairs = np.zeros(64, dtype=np.int64), np.zeros((64, GRAM_BUCKETS), dtype=np.int32), np.zeros((64, GRAM_BUCKETS), dtype=np.int32)
-        texts: list[str] = []
+        lengths, (three, *less) = np.array([len(t) for t in texts], dtype=np.int64), [(size, _pieces(texts, size)) for size in (3, 1, 2)]
         found = []
-        for text, line_id in zip(part["flat"], part["line_id"]):
-            k = len(texts)
-            if text in known and twins[text] is not None:
+        for text, line_id in zip(said, part["line_id"].to_pylist()):
+            own, k = number[text], len(ids)
+            if twins.get(text) is not None:
                 found.append((line_id, twins[text]))
                 continue
-            own, own_pairs = _grams(text), _grams(text, 2)
-            later = known.get(text, -1) + 1  # an equal text was compared with those before it
-            near = _may_repeat(len(text), own, lengths[:k], grams[:k], ratio, 1.0)
-            near = near[_may_repeat(len(text), own_pairs, lengths[near], pairs[near], ratio, 1.0, 2)]
-            twin = next((ids[i] for i in sorted(near) if i >= later and texts[i] != text and indel_ratio(texts[i], text) >= ratio), None)
+            later = own + 1 if own < k else 0  # an equal text was compared with those before it
+            near = later + _may_repeat(len(text), three[1][own], lengths[later:k], three[1][later:k], ratio, 1.0)
+            for size, counts in less:
+                near = near[_may_repeat(len(text), counts[own], lengths[near], counts[near], ratio, 1.0, size)] if len(near) else near
+            twin = next((ids[i] for i in near if indel_ratio(texts[i], text) >= ratio), None)
             twins[text] = twin
             if twin is not None:
                 found.append((line_id, twin))
-            if text not in known:
-                known[text] = k
-                if k == len(lengths):
-                    lengths, grams, pairs = (np.concatenate([x, np.zeros_like(x)]) for x in (lengths, grams, pairs))
-                lengths[k], grams[k], pairs[k] = len(text), own, own_pairs
-                texts.append(text)
+            if own == k:
                 ids.append(line_id)
-        key = part.iloc[0] if len(part) else None
-        return pd.DataFrame([(key["book_id"], key["episode_id"], key["revision"], "near_duplicate", "warning", a, b) for a, b in found], columns=[*EPISODE, "rule", "severity", "line_id", "claim_id"])
+        episode = {c: [part[c][0].as_py()] * len(found) if found else [] for c in EPISODE}
+        return pa.table(episode | {"rule": ["near_duplicate"] * len(found), "severity": ["warning"] * len(found), "line_id": [a for a, _ in found], "claim_id": [b for _, b in found]}, schema)
 
-    return flat.where(F.length("flat") >= least).groupBy(*EPISODE).applyInPandas(fold, "book_id string, episode_id string, revision int, rule string, severity string, line_id string, claim_id string")
+    return flat.where(F.length("flat") >= least).groupBy(*EPISODE).applyInArrow(fold, "book_id string, episode_id string, revision int, rule string, severity string, line_id string, claim_id string")

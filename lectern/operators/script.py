@@ -125,7 +125,7 @@ def phrase_rule(lines: DataFrame, phrases: list[str] | None = None) -> DataFrame
 def pattern_rules(lines: DataFrame, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """summary_opener, not_x_but_y, three_part_flourish: one finding a line and pattern, the severity given with the pattern."""
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("level"), F.lit(r).alias("pattern")) for n, s, r in (patterns or PATTERNS)])
-    hits = lines.select(*EPISODE, "line_id", F.explode(F.filter(rules, lambda r: F.rlike(F.col("text"), r["pattern"]))).alias("hit"))
+    hits = lines.select(*EPISODE, "line_id", F.explode_outer(F.filter(rules, lambda r: F.rlike(F.col("text"), r["pattern"]))).alias("hit")).where("hit is not null")
     return hits.select(*EPISODE, F.col("hit.name").alias("rule"), F.col("hit.level").alias("severity"), "line_id", F.lit(None).cast("string").alias("claim_id"))
 
 
